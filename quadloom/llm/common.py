@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         if not batch.num_rows:
             continue
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
         start, held = 0, 0
         for i, size in enumerate(sizes.tolist()):
             if held and held + size > SLICE_BYTES:

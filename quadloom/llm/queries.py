@@ -5,17 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding
-from .common import table
+from . import minhash, sharding
+from .common import lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", lower_ascii(F.col("text")).alias("text"))
+    return minhash.near_duplicates(docs, words=3, percent=85)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op10_sharding": op10_sharding,
 }
