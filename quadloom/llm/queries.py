@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, sharding, substrings
+from . import langid, minhash, packing, sharding, substrings
 from .common import lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; a row has a doc_id or a page_id."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    found = lambda df, doc, page: df.select(doc.alias("doc_id"), page.alias("page_id"), "langid.language", F.round("langid.posterior", 6).alias("posterior"), "langid.n_trigrams", "langid.kept")
+    none = F.lit(None).cast("long")
+    own = found(langid.identify_documents(docs.select("doc_id", "text", "source"), model), F.col("doc_id"), none)
+    return own.unionByName(found(langid.identify_pages(table(spark, sf_dir, "pages"), model), none, F.col("page_id")))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_substrings": op7_substrings,
     "op10_sharding": op10_sharding,
 }
