@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, sharding, substrings
+from . import langid, minhash, packing, sharding, simhash, substrings
 from .common import lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, words=3, percent=85)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_substrings": op7_substrings,
     "op10_sharding": op10_sharding,
+    "simhash_neighbours": simhash_neighbours,
 }
