@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, packing, sharding, simhash, substrings
+from . import chat, langid, minhash, packing, sentencepieces, sharding, simhash, substrings
 from .common import lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_substrings": op7_substrings,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_sharding": op10_sharding,
     "simhash_neighbours": simhash_neighbours,
 }
