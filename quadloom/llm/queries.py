@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, packing, sentencepieces, sharding, simhash, substrings, token_counts
+from . import chat, langid, minhash, packing, sentencepieces, sharding, simhash, substrings, token_counts, vectors
 from .common import lower_ascii, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": op6_language_id,
     "op7_substrings": op7_substrings,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_embeddings": op9_embeddings,
     "op10_sharding": op10_sharding,
     "simhash_neighbours": simhash_neighbours,
 }
