@@ -6,9 +6,11 @@ Documents that agree in a band are candidates. A candidate becomes a link only a
 
 Which candidates are compared: documents with equal sets are one class. In each band bucket every class is first
 compared with one centre, picked by a hash, so a bucket of n classes yields n pairs. Classes that these links connect
-need no more comparison among each other. What is left are classes of one bucket in different components: those outside the
-bucket's largest component are compared with all in the bucket that they are not connected to. Every pair of a bucket
-is thus either compared or already connected, without listing the pairs within a group of copies.
+need no more comparison among each other. What is left are classes of one bucket in different components. For each of them
+the shingles are counted that any class of another component holds: no link to another component can share more, which rules out
+a copy with many edits of its own. The others are gathered into the clusters that their buckets connect, a cluster is dealt into
+blocks of about CROWD classes, and every two blocks meet in one task that counts all intersections at once and returns one link for each pair of
+components. Every pair of a bucket is thus compared, connected already or shown to be too unlike, and no pairs within a group are listed.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept. A text with fewer words
 than a shingle has its whole word sequence as its only shingle. Rows that share a doc_id are one document, linked to all
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, joined_hash, mapped, mix64, run_hashes, slices, texts_of, within, word_hashes
+from .common import WordHashes, cut, joined_hash, mapped, mix64, run_hashes, slices, texts_of, word_hashes
 from .components import components
 
 #: Signature: BANDS bands of ROWS coordinates. At a Jaccard index of 0.85 a pair shares no band with probability 3e-7,
@@ -33,6 +35,8 @@ from .components import components
 BANDS, ROWS = 32, 6
 #: Shingle hashes that one pass of the signature works on, so that they stay in a core's cache.
 BLOCK = 1 << 15
+#: Classes in a block that is compared with another, about; shingles that one pass of that counts.
+CROWD, COLUMNS = 512, 4096
 #: Circular shift of the universe by one step of a coordinate.
 STEP = 0x9E3779B1
 
@@ -120,6 +124,15 @@ def _setter(words: int):
     return make
 
 
+def _spreader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label, shingles) as rows of one shingle."""
+    for batch in slices(batches, "shingles"):
+        raw = batch.column(2).to_pylist()
+        sizes = np.array([len(x) // 8 for x in raw])
+        found = np.frombuffer(b"".join(raw), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.repeat(np.asarray(batch.column(1)), sizes)), pa.array(found)], names=["node", "label", "shingle"])
+
+
 def _comparer(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +146,55 @@ def _comparer(percent: int):
     return compare
 
 
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at `left` with those at `right`, by products of 0/1 matrices of shared shingles."""
+    holder = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    holder, column = holder[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    holder, column = holder[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        dense = np.zeros((len(sets), int(column[b - 1]) - first + 1), dtype=np.float32)
+        dense[holder[a:b], column[a:b] - first] = 1
+        out += dense[left] @ dense[right].T
+    return np.rint(out).astype(np.int64)
+
+
+def _crowd(percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        label, block = np.asarray(table["label"]), np.asarray(table["block"])
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        one = block.min()
+        left = np.flatnonzero(block == one)
+        right = left if block.max() == one else np.flatnonzero(block != one)
+        both = _intersections(sets, left, right)
+        alike = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
+        i, j = np.nonzero(alike)
+        ends = np.unique(np.stack([label[left][i], label[right][j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+    return compare
+
+
+def _crossed(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between labels, of all (bucket, rep, k1, label) whose buckets hold several labels."""
+    several = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("rep").alias("head")).where("least < most")
+    rows = cut(rows.join(several.select("bucket", "head"), "bucket"))
+    clusters = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v"))).toDF("rep", "cluster")
+    nodes = rows.select("rep", "k1", "label").distinct().join(clusters, "rep")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CROWD).alias("blocks"))
+    dealt = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = met.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "label", F.col("rep").alias("doc_id"), "k1")
+    return met.join(sets, ["doc_id", "k1"]).select("cluster", "p", "q", "block", "label", "shingles").groupBy("cluster", "p", "q").applyInArrow(_crowd(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, ka, b, kb) whose full sets are alike enough, as (a, b)."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("k1").alias("ka"), F.col("shingles").alias("sa"))
@@ -177,12 +239,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     largest = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("m")).where("labels > 1").select("bucket", F.col("m.label").alias("major"))
     mixed = cut(labelled.join(largest, "bucket"))
-    odd = mixed.where("label != major").select("bucket", F.col("rep").alias("x"), F.col("k1").alias("kx"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    others = mixed.select("bucket", F.col("rep").alias("y"), F.col("k1").alias("ky"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    rest = _pairs(odd.join(others, "bucket").where("lx != ly"), percent).join(stars, ["a", "ka", "b", "kb"], "left_anti")
-    label_of = lambda end, name: linked.select(F.col("node").alias(end), F.col("label").alias(name))
-    late = _verified(rest, sets, percent).join(label_of("a", "la"), "a", "left").join(label_of("b", "lb"), "b", "left")
-    merged = components(late.select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v")))
+    nodes = mixed.select(F.col("rep").alias("doc_id"), "label").distinct()
+    spread = mapped(sets.join(nodes, "doc_id").select("doc_id", "label", "shingles"), _spreader, "node long, label long, shingle long")
+    shared = spread.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
+    bounds = cut(spread.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("c")).withColumnRenamed("node", "rep"))
+    mixed = mixed.join(bounds, "rep").where(F.col("c") * 100 >= F.col("n") * percent)
+    late = _crossed(mixed.select("bucket", "rep", "k1", "label"), sets, percent)
+    merged = components(late, "a", "b")
 
     # A document that holds several classes (repeated doc_id) joins their components; rows find theirs by set.
     labels = linked.select("node", "label").union(merged.select("node", "label").join(linked.select("node"), "node", "left_anti"))
