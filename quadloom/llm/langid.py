@@ -7,8 +7,8 @@
 4. The host: a prior smoothed towards the prior of the host's domain, and that towards the prior of all rows. Counts are grouped sums over all rows.
 
 Each row's own share is taken out of every count it meets again, so no evidence counts twice. Rows first yield their
-text posterior, which grouped aggregation turns into small tables by host, domain and value; these are joined back and
-the evidence is summed. Spark broadcasts such a table only if it is small.
+text posterior, which grouped aggregation turns into small tables by host, domain and value; these are joined back (broadcast
+if their rows, which are counted, are few) and the evidence is summed.
 
 Defined results: a text without letters (null, empty, digits) has no text evidence and rests on the others; a row without any
 evidence gets the overall prior. A row is rejected (kept is false, language 'und') if its text has no trigram of letters or its best
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mapped, texts_of
+from .common import SLICE_BYTES, cut, mapped, texts_of
 
 #: Labelled rows that the text model is fitted on, at most.
 SAMPLE = 4000
@@ -36,6 +36,8 @@ TRIGRAMS = 60
 #: Smoothing: rows that the broader prior weighs in a domain's and in a host's; rows that a value's overall share weighs.
 DOMAIN_WEIGHT, HOST_WEIGHT, VALUE_WEIGHT = 20.0, 10.0, 5.0
 LEAST = 0.5
+#: A table of sums by key is broadcast if it has so many rows at most; beyond, the rows are shuffled to it.
+BROADCAST_ROWS = 20_000
 
 #: Bytes that aren't letters are one space here: ASCII other than letters. Bytes from 0x80 belong to letters.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
@@ -181,7 +183,7 @@ def identify(rows: DataFrame, model: TextModel, text: str, html: bool = False, h
         return base.select("_row.*", found.alias("langid"))
     scored = base.withColumn("_score", _scorer(rows.sparkSession, model, html)(F.col("_text")))
     # A text without trigrams has equal likelihoods and counts for no table.
-    own = scored.select("_host", "_domain", "_declared", "_suffix", _normal(F.col("_score.ll")).alias("_post"), F.col("_score.n").alias("_n")).where("_n > 0")
+    own = cut(scored.select("_host", "_domain", "_declared", "_suffix", _normal(F.col("_score.ll")).alias("_post"), F.col("_score.n").alias("_n")).where("_n > 0"))
     totals = own.agg(*(F.sum(F.col("_post")[i]) for i in range(k))).first()
     totals = np.array([x or 0.0 for x in totals])
     overall = (totals + 1.0) / (totals.sum() + k)
@@ -192,7 +194,8 @@ def identify(rows: DataFrame, model: TextModel, text: str, html: bool = False, h
     zeros = F.array(*[F.lit(0.0)] * k)
     used = [key for key, column in (("_host", host), ("_domain", domain), ("_declared", declared), ("_suffix", suffix)) if column is not None]
     for key in used:
-        out = out.join(_sums(own, key, k, f"{key}_n"), key, "left")
+        sums = cut(_sums(own, key, k, f"{key}_n"))
+        out = out.join(F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums, key, "left")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
     def others(key: str) -> Column:
