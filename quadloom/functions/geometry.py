@@ -15,6 +15,11 @@ GEOMETRY = f"struct<type: string, parts: array<array<array<{POINT}>>>>"
 CLASSES = {"Point": 1, "MultiPoint": 1, "LineString": 2, "MultiLineString": 2, "Polygon": 3, "MultiPolygon": 3}
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _xy(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -56,10 +61,13 @@ def all_points(geometry: Column) -> Column:
 
 def bbox(geometry: Column) -> Column:
     """struct(min_lon, min_lat, max_lon, max_lat); null for a null or empty geometry."""
-    points = all_points(geometry)
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    bounds = F.struct(F.array_min(xs).alias("min_lon"), F.array_min(ys).alias("min_lat"), F.array_max(xs).alias("max_lon"), F.array_max(ys).alias("max_lat"))
-    return F.when(geometry.isNotNull() & (F.size(points) > 0), bounds)
+
+    def bounds(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        found = F.struct(F.array_min(xs).alias("min_lon"), F.array_min(ys).alias("min_lat"), F.array_max(xs).alias("max_lon"), F.array_max(ys).alias("max_lat"))
+        return F.when(F.size(points) > 0, found)
+
+    return let(all_points(geometry), bounds)
 
 
 def segments(ring: Column) -> Column:
@@ -89,13 +97,16 @@ def _covers(polygon: Column, x: Column, y: Column) -> Column:
 
 def intersects_box(geometry: Column, b: Column) -> Column:
     """Closed intersection of a geometry with a box; bounding boxes are enough for points and are tried first for all."""
-    own = bbox(geometry)
-    near = (own["min_lon"] <= b["max_lon"]) & (own["max_lon"] >= b["min_lon"]) & (own["min_lat"] <= b["max_lat"]) & (own["max_lat"] >= b["min_lat"])
-    kind = class_of(geometry["type"])
-    some_point = F.exists(all_points(geometry), lambda p: _in_box(p, b))
-    some_edge = F.exists(F.flatten(geometry["parts"]), lambda ring: F.exists(segments(ring), lambda s: segment_meets_box(s["a"], s["b"], b)))
-    inside = F.exists(geometry["parts"], lambda polygon: _covers(polygon, b["min_lon"], b["min_lat"]))
-    return near & F.when(kind == 1, some_point).when(kind == 2, some_point | some_edge).when(kind == 3, some_point | some_edge | inside).otherwise(False)
+
+    def meets(b: Column) -> Column:
+        near = let(bbox(geometry), lambda own: (own["min_lon"] <= b["max_lon"]) & (own["max_lon"] >= b["min_lon"]) & (own["min_lat"] <= b["max_lat"]) & (own["max_lat"] >= b["min_lat"]))
+        kind = class_of(geometry["type"])
+        some_point = F.exists(all_points(geometry), lambda p: _in_box(p, b))
+        some_edge = F.exists(F.flatten(geometry["parts"]), lambda ring: F.exists(segments(ring), lambda s: segment_meets_box(s["a"], s["b"], b)))
+        inside = F.exists(geometry["parts"], lambda polygon: _covers(polygon, b["min_lon"], b["min_lat"]))
+        return near & (some_point | ((kind >= 2) & some_edge) | ((kind == 3) & inside))
+
+    return let(b, meets)
 
 
 def boundary(geometry: Column) -> Column:
@@ -140,8 +151,8 @@ def from_coordinates(kind: Column, coordinates: Column) -> Column:
         .when(kind == "Polygon", solid(F.array(read(3))))
         .when(kind == "MultiPolygon", solid(read(4)))
     )
-    geometry = F.struct(kind.alias("type"), parts.alias("parts")).cast(GEOMETRY)
-    return F.when(F.size(F.flatten(F.flatten(parts))) > 0, close_rings(geometry))
+    made = lambda g: F.when(F.size(all_points(g)) > 0, close_rings(g))
+    return let(F.struct(kind.alias("type"), parts.alias("parts")).cast(GEOMETRY), made)
 
 
 def from_geojson(text: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import class_of
+from .geometry import class_of, let
 from .tiles import EXTENT, local_x, local_y, local_y_mercator, tile_bounds
 
 VERSION = 2
@@ -48,10 +48,13 @@ def _origin() -> Column:
 
 def local_geometry(geometry: Column, z: Column, x: Column, y: Column, extent: int = EXTENT, mercator: bool = False) -> Column:
     """The parts with integer coordinates in the tile."""
-    bounds = tile_bounds(z, x, y)
-    down = (lambda p: local_y_mercator(p["y"], y, z, extent)) if mercator else (lambda p: local_y(p["y"], bounds, extent))
-    place = lambda p: F.struct(local_x(p["x"], bounds, extent).alias("x"), down(p).alias("y"))
-    return F.transform(geometry["parts"], lambda part: F.transform(part, lambda ring: F.transform(ring, place)))
+
+    def placed(bounds: Column) -> Column:
+        down = (lambda p: local_y_mercator(p["y"], y, z, extent)) if mercator else (lambda p: local_y(p["y"], bounds, extent))
+        place = lambda p: F.struct(local_x(p["x"], bounds, extent).alias("x"), down(p).alias("y"))
+        return F.transform(geometry["parts"], lambda part: F.transform(part, lambda ring: F.transform(ring, place)))
+
+    return let(tile_bounds(z, x, y), placed)
 
 
 def commands(kind: Column, parts: Column, restart: bool = False) -> Column:
@@ -61,20 +64,28 @@ def commands(kind: Column, parts: Column, restart: bool = False) -> Column:
     A run of less than two points makes no commands; closed rings leave out their last point and are closed.
     """
     cls = class_of(kind)
-    points = F.flatten(F.flatten(parts))
-    of_points = F.when(F.size(points) > 0, F.concat(F.array(command(MOVE, F.size(points))), _zigzags(points, _origin()))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
     closed = lambda r: (cls == 3) & (F.element_at(r, 1) == F.element_at(r, -1))
     drawn = F.transform(F.filter(F.flatten(parts), lambda r: F.size(r) >= 2), lambda r: F.struct(F.when(closed(r), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r).alias("p"), closed(r).alias("closed")))
 
-    def run(r: Column, i: Column) -> Column:
-        cursor = _origin() if restart else F.when(i > 0, F.element_at(F.element_at(drawn, F.greatest(i, F.lit(1)).cast("int"))["p"], -1)).otherwise(_origin())
-        steps = _zigzags(r["p"], cursor)
-        lines = F.size(r["p"]) - 1
-        rest = F.when(lines > 0, F.concat(F.array(command(LINE, lines)), F.slice(steps, F.lit(3), F.greatest(F.size(steps) - 2, F.lit(0))))).otherwise(F.array().cast("array<bigint>"))
-        end = F.when(r["closed"], F.array(command(CLOSE, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-        return F.concat(F.array(command(MOVE, F.lit(1))), F.slice(steps, 1, 2), rest, end)
+    def of_points(points: Column) -> Column:
+        return F.when(F.size(points) > 0, F.concat(F.array(command(MOVE, F.size(points))), _zigzags(points, _origin()))).otherwise(none)
+
+    def of_runs(runs: Column) -> Column:
+        def run(r: Column, i: Column) -> Column:
+            cursor = _origin() if restart else F.when(i > 0, F.element_at(F.element_at(runs, F.greatest(i, F.lit(1)).cast("int"))["p"], -1)).otherwise(_origin())
+            lines = F.size(r["p"]) - 1
+            end = F.when(r["closed"], F.array(command(CLOSE, F.lit(1)))).otherwise(none)
+
+            def written(steps: Column) -> Column:
+                rest = F.when(lines > 0, F.concat(F.array(command(LINE, lines)), F.slice(steps, F.lit(3), F.greatest(F.size(steps) - 2, F.lit(0))))).otherwise(none)
+                return F.concat(F.array(command(MOVE, F.lit(1))), F.slice(steps, 1, 2), rest, end)
+
+            return let(_zigzags(r["p"], cursor), written)
+
+        return F.flatten(F.transform(runs, run))
 
-    return F.when(cls == 1, of_points).when(cls > 1, F.flatten(F.transform(drawn, run))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(cls == 1, let(F.flatten(F.flatten(parts)), of_points)).when(cls > 1, let(drawn, of_runs)).otherwise(none)
 
 
 def typed_value(column: Column, kind: str) -> Column:

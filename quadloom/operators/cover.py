@@ -46,14 +46,15 @@ def cover(rows: DataFrame, bounds: str, min_zoom: int | Column, max_zoom: int |
 def tiles_of_features(features: DataFrame, min_zoom: int | Column, max_zoom: int | Column, geometry: str = "geometry", bounds: str = "bbox") -> DataFrame:
     """The spatial join of features with all tiles of the zooms: features with z, x, y, where the geometry meets the closed tile.
 
-    Each feature brings its own candidates, so there is no tile table, no shuffle and no nested loop. Where the bounds' cover is one
-    tile, all that the geometry touches lies there, and only edges need the exact test.
+    Each feature brings its own candidates, so there is no tile table, no shuffle and no nested loop. Bounds decide where
+    they miss a tile or lie in it, as a point's always do; the geometry is looked at for the rest.
     """
     candidates = cover(features, bounds, min_zoom, max_zoom, widened=True)
     tile = T.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
     b = F.col(bounds)
-    inside = (b["min_lon"] > tile["min_lon"]) & (b["max_lon"] < tile["max_lon"]) & (b["min_lat"] > tile["min_lat"]) & (b["max_lat"] < tile["max_lat"])
-    return candidates.where(F.when(inside, True).otherwise(G.intersects_box(F.col(geometry), tile)))
+    near = (b["min_lon"] <= tile["max_lon"]) & (b["max_lon"] >= tile["min_lon"]) & (b["min_lat"] <= tile["max_lat"]) & (b["max_lat"] >= tile["min_lat"])
+    inside = (b["min_lon"] >= tile["min_lon"]) & (b["max_lon"] <= tile["max_lon"]) & (b["min_lat"] >= tile["min_lat"]) & (b["max_lat"] <= tile["max_lat"])
+    return candidates.where(near & (inside | G.intersects_box(F.col(geometry), tile)))
 
 
 def features_in_bounds(features: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> DataFrame:
