@@ -77,9 +77,10 @@ def _count(batches):
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> TextModel:
-    """A text model from the first `sample` labelled rows in the order of their texts' hashes."""
-    rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64("text"), "lang").limit(sample)
+    """A text model from labelled rows: the distinct (text, label) with the first `sample` hashes. Only hashes are ordered, never texts."""
+    rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    last = rows.select("h", "lang").distinct().orderBy("h", "lang").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(last).cast("bigint")).select("lang", "text").distinct()
     counts = mapped(rows, _count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
     table = np.zeros((1 << BITS, len(languages)))
