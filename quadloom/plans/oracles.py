@@ -127,6 +127,8 @@ _WINDOWS = f"""{_EVENTS}, timed AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) A
   UNION ALL
   SELECT o.source, (SELECT min(s) FROM timed t WHERE t.source = o.source AND t.s >= o.w + {COOLDOWN}) AS w FROM opened o WHERE o.w IS NOT NULL),
 windowed AS (SELECT t.*, (SELECT max(w) FROM opened o WHERE o.source = t.source AND o.w <= t.s) AS window_start FROM timed t)"""
+#: The key's two pads of the keyed digest, for the key that the query signs with.
+_PADS = ["".join(f"{b ^ pad:02x}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
 _R9 = ", ".join(f"round({c}, 9) AS {c}" for c in _BOUNDS.split(", "))
 
 ORACLES: dict[str, str] = {
@@ -150,6 +152,11 @@ UNION ALL SELECT c_custkey, 'solvent', CASE WHEN c_nationkey > 20 THEN 'o' ELSE
     "mvt_key_dictionary": f"WITH {_with('geo_boxes')}, t AS (SELECT * FROM ({_tiled(_BOX_ROWS, 0, 3)}) WHERE {_MEETS}), v AS (SELECT z, x, y, 'name' AS k, 's:' || name AS d FROM t UNION ALL SELECT z, x, y, 'kind', 's:' || kind FROM t UNION ALL SELECT z, x, y, 'size', 'n:' || CAST(size AS VARCHAR) FROM t) SELECT CAST(z AS INTEGER) AS z, x, y, count(DISTINCT k) AS keys, count(DISTINCT d) AS values FROM v GROUP BY ALL",
     "property_rules_by_zoom": "SELECT event_id AS id, CAST(z AS INTEGER) AS z, CASE WHEN z < 3 THEN 'kind' WHEN z < 5 THEN 'kind,user_id' ELSE 'kind,user_id,value' END AS kept FROM events, range(0, 7) t(z)",
     "simplify_tolerance_by_zoom": f"SELECT p_partkey, CAST(z AS INTEGER) AS z, round(p_size * CAST({TOLERANCE:f} AS DOUBLE) * pow(2.0, greatest(18 - z, 0)), 9) AS tolerance FROM part, range(0, 21) t(z)",
+    "simplify_lines": f"""
+WITH {_with("geo_lines")}, p AS (SELECT id, x1 - x0 AS px, y1 - y0 AS py, x2 - x0 AS dx, y2 - y0 AS dy FROM geo_lines),
+t AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest((px * dx + py * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS t FROM p)
+SELECT id, CASE WHEN sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) > {TOLERANCE * 2**14!r} THEN 3 ELSE 2 END AS vertices FROM t""",
+    "hmac_signature": f"WITH {_with('changes')} SELECT event_id, 'sha256=' || sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(payload)))) AS signature FROM changes",
     "label_points_boxes": f"WITH {_with('geo_boxes')} SELECT id, round((min_lon + max_lon) / 2, 6) AS lon, round((min_lat + max_lat) / 2, 6) AS lat FROM geo_boxes WHERE min_lon IS NOT NULL",
     "boundary_lines": f"WITH {_with('geo_boxes')} SELECT id, 'LineString' AS type, 5 AS vertices, round(2 * (max_lon - min_lon) + 2 * (max_lat - min_lat), 6) AS length FROM geo_boxes WHERE min_lon IS NOT NULL",
     "encode_tiles": f"WITH {_with('geo_points', 'geo_boxes')}, {_POINTS_AND_BOXES} SELECT z, x, y, count(*) AS n_features, count(DISTINCT layer) AS n_layers, CAST(sum(id) AS BIGINT) AS sum_id FROM placed GROUP BY z, x, y",
