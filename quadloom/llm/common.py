@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -41,8 +40,8 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most SLICE_BYTES of the text column, so that memory follows one slice, not the batch."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` bytes of the text column, so that memory follows one slice, not the batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -50,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
         start, held = 0, 0
         for i, size in enumerate(sizes.tolist()):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
@@ -128,7 +127,3 @@ def within(ends: np.ndarray, length: int, total: int) -> np.ndarray:
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def worker_threads() -> int:
-    return max(1, int(os.environ.get("OMP_NUM_THREADS", "1")))
