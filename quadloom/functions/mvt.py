@@ -116,10 +116,26 @@ def dictionary_key(value: Column) -> Column:
     return F.concat(prefix, value["text"])
 
 
+#: Parts a coded property's name from its value.
+SEPARATOR = "\0"
+
+
+def coded_properties(props: Column) -> Column:
+    """A feature's properties as texts of name, kind and value, sorted by name: what the writer takes."""
+    return F.transform(F.array_sort(F.map_entries(props)), lambda e: F.concat(e["key"], F.lit(SEPARATOR), e["value"]["kind"], e["value"]["text"]))
+
+
 # Writing
 
 
 def _varint(n: int) -> bytes:
+    """Numbers below 2^14, nearly all that tiles hold, come from a table."""
+    if 0 <= n < len(_SMALL):
+        return _SMALL[n]
+    return _long_varint(n)
+
+
+def _long_varint(n: int) -> bytes:
     n &= 0xFFFFFFFFFFFFFFFF
     out = bytearray()
     while n > 127:
@@ -129,6 +145,9 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
+_SMALL = [_long_varint(n) for n in range(1 << 14)]
+
+
 def _number(field: int, n: int) -> bytes:
     return _varint(field << 3) + _varint(n)
 
@@ -158,14 +177,23 @@ class LayerWriter:
         self.name, self.extent, self.features = name, extent, []
         self.keys: dict[str, int] = {}
         self.values: dict[tuple[str, str], int] = {}
+        self.tags: dict[str, bytes] = {}
 
     def add(self, feature_id: int, kind: int, geometry: list[int], properties: dict[str, tuple[str, str]]) -> None:
-        tags = []
-        for key in sorted(properties):
-            tags += [self.keys.setdefault(key, len(self.keys)), self.values.setdefault(properties[key], len(self.values))]
-        body = _number(FEATURE_ID, feature_id) + (_packed(FEATURE_TAGS, tags) if tags else b"") + _number(FEATURE_TYPE, kind) + _packed(FEATURE_GEOMETRY, geometry)
+        self.add_coded(feature_id, kind, geometry, [f"{k}{SEPARATOR}{a}{b}" for k, (a, b) in sorted(properties.items())])
+
+    def add_coded(self, feature_id: int, kind: int, geometry: list[int], properties: list[str]) -> None:
+        """properties: as coded_properties() makes them."""
+        tags = b"".join([self.tags.get(p) or self._learn(p) for p in properties])
+        body = _number(FEATURE_ID, feature_id) + (_bytes(FEATURE_TAGS, tags) if tags else b"") + _number(FEATURE_TYPE, kind) + _packed(FEATURE_GEOMETRY, geometry)
         self.features.append(_bytes(LAYER_FEATURE, body))
 
+    def _learn(self, coded: str) -> bytes:
+        """The two tags of a property, packed."""
+        key, _, value = coded.partition(SEPARATOR)
+        self.tags[coded] = out = _varint(self.keys.setdefault(key, len(self.keys))) + _varint(self.values.setdefault((value[:1], value[1:]), len(self.values)))
+        return out
+
     def message(self) -> bytes:
         parts = [_bytes(LAYER_NAME, self.name.encode()), *self.features, *(_bytes(LAYER_KEY, k.encode()) for k in self.keys), *(_bytes(LAYER_VALUE, value_message(*v)) for v in self.values)]
         return b"".join([*parts, _number(LAYER_EXTENT, self.extent), _number(LAYER_VERSION, VERSION)])

@@ -86,7 +86,7 @@ def _writer(extent: int):
                     tile, layers = (z, x, y), []
                 if not layers or layers[-1].name != layer:
                     layers.append(mvt.LayerWriter(layer, extent))
-                layers[-1].add(number, kind, commands, {k: (v["kind"], v["text"]) for k, v in props})
+                layers[-1].add_coded(number, kind, commands, props)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
         if tile is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(finished(), kinds, strict=True)], names=names)
@@ -96,7 +96,7 @@ def _writer(extent: int):
 
 def encode(placed: DataFrame, layers: Iterable[Layer] = (), geometry: str = "geometry", extent: int = T.EXTENT, mercator: bool = False, restart: bool = False) -> DataFrame:
     """Tiles of features with tiles: one shuffle by tile, sorted by layer and id, so that equal features give equal bytes."""
-    rows = prepared(placed, layers, geometry, extent, mercator, restart)
+    rows = prepared(placed, layers, geometry, extent, mercator, restart).withColumn("props", mvt.coded_properties(F.col("props")))
     return rows.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "layer", "id").mapInArrow(_writer(extent), TILES)
 
 
