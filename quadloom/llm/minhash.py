@@ -9,7 +9,7 @@ compared with one centre, picked by a hash, so a bucket of n classes yields n pa
 need no more comparison among each other. What is left are classes of one bucket in different components. For each of them
 the shingles are counted that any class of another component holds: no link to another component can share more, which rules out
 a copy with many edits of its own. The others are gathered into the clusters that their buckets connect, a cluster is dealt into
-blocks of about CROWD classes, and every two blocks meet in one task that counts all intersections at once and returns one link for each pair of
+blocks of about CROWD classes (fewer if their sets are large), and every two blocks meet in one task that counts all intersections at once and returns one link for each pair of
 components. Every pair of a bucket is thus compared, connected already or shown to be too unlike, and no pairs within a group are listed.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept. A text with fewer words
@@ -35,8 +35,8 @@ from .components import components
 BANDS, ROWS = 32, 6
 #: Shingle hashes that one pass of the signature works on, so that they stay in a core's cache.
 BLOCK = 1 << 15
-#: Classes in a block that is compared with another, about; shingles that one pass of that counts.
-CROWD, COLUMNS = 512, 4096
+#: Classes in a block that is compared with another, and shingles in it, about; shingles that one pass of that counts.
+CROWD, CROWD_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Circular shift of the universe by one step of a coordinate.
 STEP = 0x9E3779B1
 
@@ -183,12 +183,12 @@ def _crowd(percent: int):
 
 
 def _crossed(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between labels, of all (bucket, rep, k1, label) whose buckets hold several labels."""
+    """Links (a, b) between labels, of all (bucket, rep, k1, n, label) whose buckets hold several labels."""
     several = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("rep").alias("head")).where("least < most")
     rows = cut(rows.join(several.select("bucket", "head"), "bucket"))
     clusters = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v"))).toDF("rep", "cluster")
-    nodes = rows.select("rep", "k1", "label").distinct().join(clusters, "rep")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CROWD).alias("blocks"))
+    nodes = rows.select("rep", "k1", "n", "label").distinct().join(clusters, "rep")
+    blocks = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n") / CROWD_SHINGLES)).alias("blocks"))
     dealt = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     met = met.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "label", F.col("rep").alias("doc_id"), "k1")
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     shared = spread.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
     bounds = cut(spread.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("c")).withColumnRenamed("node", "rep"))
     mixed = mixed.join(bounds, "rep").where(F.col("c") * 100 >= F.col("n") * percent)
-    late = _crossed(mixed.select("bucket", "rep", "k1", "label"), sets, percent)
+    late = _crossed(mixed.select("bucket", "rep", "k1", "n", "label"), sets, percent)
     merged = components(late, "a", "b")
 
     # A document that holds several classes (repeated doc_id) joins their components; rows find theirs by set.
