@@ -20,10 +20,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that with the smallest id."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that with the smallest id.
+
+    Each row is judged by its own text, also where ids are null or repeated: rows without an id come after all others, and rows
+    that share an id (or have none) are told apart by a hash of their texts. Of rows equal in id and text one stays, that whose
+    columns have the least hash. Texts without words are like no other text.
+    """
+    nulls = lambda names: [F.col(f"`{c}`").isNull() for c in names]
+    hashed = lambda names: F.xxhash64(*(F.col(f"`{c}`") for c in names), *nulls(names))
+    rows = docs.withColumns({"_key": hashed(["doc_id", "text"]), "_row": hashed(docs.columns)})
+    groups = minhash.near_duplicates(rows, words=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
+    members = rows.select("doc_id", "_key", "_row").distinct().join(groups, "_key")
+    first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "_row")).alias("first"))
+    gone = members.join(first, "_group").where("_key != first._key OR _row != first._row").select("_key", "_row")
+    return rows.join(gone, ["_key", "_row"], "left_anti").dropDuplicates(["_key", "_row"]).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,3 +111,21 @@ def test_run_is_its_stages(spark, stages):
     pieces = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in stages[3][2].collect()}
     assert digest(pieces.groupBy("doc_id").agg({"length": "sum"}).selectExpr("doc_id", "0 AS start", "`sum(length)` AS length", "0 AS ids_crc32")) == digest(stages[3][2].groupBy("doc_id").agg({"length": "sum"}).selectExpr("doc_id", "0 AS start", "`sum(length)` AS length", "0 AS ids_crc32"))
+
+
+def test_near_duplicate_stage_keeps_rows_without_id_and_with_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    a, b, c, d, e, f = map(text, "abcdef")
+    kept = [(None, a, "x"), (None, b, "x"), (3, c, "x"), (5, d, "x"), (5, e, "x"), (7, f, "x"), (8, "", "x"), (None, None, "x")]
+    near = [(None, c + " end", "x"), (None, a + " end", "y"), (5, c, "x"), (9, d + " end", "x"), (7, f, "x")]
+    docs = spark.createDataFrame(kept + near, "doc_id long, text string, source string")
+    for parts in (1, 5):
+        out = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), DATA).collect()]
+        named = sorted(r for r in out if r[0] is not None)
+        assert named == sorted(r for r in kept if r[0] is not None)
+        unnamed = [t for i, t, _ in out if i is None]
+        assert len(unnamed) == 3 and b in unnamed and None in unnamed and (a in unnamed) != (a + " end" in unnamed)
+    # Rows equal in id and text: the same one every time.
+    twins = spark.createDataFrame([(1, a, s) for s in "stuvw"], "doc_id long, text string, source string")
+    found = {tuple(map(tuple, corpus_pipeline.drop_near_duplicates(spark, twins.repartition(n), DATA).collect())) for n in (1, 2, 4)}
+    assert len(found) == 1 and len(next(iter(found))) == 1
