@@ -35,7 +35,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.neighbours(table(spark, sf_dir, "documents"))
+    """The class of equal fingerprints of every document, and for every 20th the other classes in reach."""
+    return simhash.classes_in_reach(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,15 +148,29 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return out.select(F.when(F.col("doc") != NO_DOC, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", hexadecimal(F.col("f")).alias("fingerprint"), hexadecimal(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"))
 
 
-def neighbours(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, near_id, distance): queries are the documents whose id is divisible by 20, against all documents.
+def classes_in_reach(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, near_id, distance): queries are the documents whose id is divisible by 20, against all documents.
 
-    Documents of equal fingerprints are a class; pairs are between smallest ids of classes, and a query's own class has distance 0.
+    Documents of equal fingerprints are a class, named by its smallest id. Every document with an id has one row of distance 0 whose
+    class_id and near_id are its own class; a query has one more for each other class in reach. The documents in reach of a query are
+    thus those whose class_id is one of its near_ids: all that the search found, without listing pairs within a class.
     """
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
     found = cut(fingerprints(base, ["doc_id"]))
-    classes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("near_id"))
-    asked = found.where("doc_id % 20 = 0")
-    pairs = within_radius(asked, classes, radius).union(asked.select("fingerprint", "fingerprint", F.lit(0)).distinct())
-    near = pairs.join(classes.withColumnRenamed("fingerprint", "entry"), "entry")
-    return asked.join(near.withColumnRenamed("query", "fingerprint"), "fingerprint").where("doc_id != near_id").select("doc_id", "near_id", "distance")
+    classes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.bool_or(F.col("doc_id") % 20 == 0).alias("asked")))
+    pairs = within_radius(classes.where("asked"), classes, radius)
+    near = pairs.join(classes.select(F.col("fingerprint").alias("entry"), F.col("class_id").alias("near_id")), "entry").select(F.col("query").alias("fingerprint"), "near_id", "distance")
+    members = found.join(classes.select("fingerprint", "class_id"), "fingerprint")
+    own = members.select("doc_id", "class_id", F.col("class_id").alias("near_id"), F.lit(0).alias("distance"))
+    return own.union(members.where("doc_id % 20 = 0").join(near, "fingerprint").select("doc_id", "class_id", "near_id", "distance"))
+
+
+def neighbours(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, near_id, distance) of each query and each other document in reach: the classes of classes_in_reach, member by member.
+
+    The rows of a class grow with its queries times its members.
+    """
+    reach = cut(classes_in_reach(docs, radius, doc_id, text))
+    members = reach.where("distance = 0").select(F.col("class_id").alias("near_class"), F.col("doc_id").alias("near_id"))
+    asked = reach.where("doc_id % 20 = 0").select("doc_id", F.col("near_id").alias("near_class"), "distance")
+    return asked.join(members, "near_class").where("doc_id != near_id").select("doc_id", "near_id", "distance")

@@ -98,3 +98,32 @@ def test_neighbours(spark):
     text = "the quick brown fox jumps over the lazy dog and runs far away from here " * 5
     df = spark.createDataFrame([(7, text), (20, text), (40, "other words entirely " * 9), (9, None), (None, text)], "doc_id long, text string")
     assert [tuple(r) for r in simhash.neighbours(df).collect()] == [(20, 7, 0)]
+
+
+def test_neighbours_in_classes(spark, monkeypatch):
+    # Fingerprints by hand: 20 with a copy of larger id, 40 in reach of a class of three, 60 alone.
+    prints = {20: 5, 33: 5, 40: (1 << 40) - 1, 7: (1 << 40) - 4, 34: (1 << 40) - 4, 80: (1 << 40) - 4, 60: 0x5555 << 44}
+    rows = [(d, str(p), p) for d, p in prints.items()] + [(None, "5", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, p long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda base, keys, text="text": base.select(*keys, F.col("text").cast("long").alias("fingerprint")).distinct())
+    least = {d: min(e for e in prints if prints[e] == prints[d]) for d in prints}
+    apart = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    want = {(d, e, apart(d, e)) for d in prints if d % 20 == 0 for e in prints if e != d and apart(d, e) <= 3}
+    assert {(20, 33, 0), (40, 7, 2), (40, 34, 2), (40, 80, 2), (80, 7, 0), (80, 34, 0), (80, 40, 2)} <= want
+    got = [tuple(r) for r in simhash.neighbours(df).collect()]
+    assert sorted(got) == sorted(want)
+    reach = [tuple(r) for r in simhash.classes_in_reach(df).collect()]
+    assert sorted(reach) == sorted({(d, least[d], least[d], 0) for d in prints} | {(d, least[d], least[e], k) for d, e, k in want if k})
+
+
+def test_query_returns_the_class_of_every_document(spark, docs):
+    from quadloom.llm.queries import simhash_neighbours
+
+    prints = {r.doc_id: r.fingerprint for r in simhash.fingerprints(docs, ["doc_id"]).collect()}
+    least = {}
+    for d, p in sorted(prints.items()):
+        least.setdefault(p, d)
+    mask = (1 << 64) - 1
+    want = {(d, least[p], least[p], 0) for d, p in prints.items()}
+    want |= {(d, least[p], least[q], ((p ^ q) & mask).bit_count()) for d, p in prints.items() if d % 20 == 0 for q in least if q != p and ((p ^ q) & mask).bit_count() <= simhash.RADIUS}
+    assert sorted(tuple(r) for r in simhash_neighbours(spark, DATA).collect()) == sorted(want)
