@@ -2,9 +2,9 @@
 
 Equal vectors of a label are one class, held by their smallest id. Classes are dealt into shards of about CAPACITY by a hash of its vector, and a
 graph is built for each shard in one task. Every two shards of a label (and each with itself) meet in one task, which searches
-either's graph for all of the other's vectors. Beams are widened by every vector above the threshold that they meet. Then a bounded
-number of queries is audited against all vectors of the other shard, and while the search misses more links than 1 - RECALL of them,
-the beam's first width doubles and the search runs again. Each candidate's cosine is verified in double precision, and what one
+either's graph for all of the other's vectors. Beams are widened by every vector above the threshold that they meet. Queries are drawn
+until AUDITED of them have links other than to themselves (or none are left), by comparison with all vectors of the other shard; while the mean
+over them of the share of links that the search found is below RECALL, the beam's first width doubles and the search runs again. Each candidate's cosine is verified in double precision, and what one
 direction found counts for both. A task returns, for each vector, how many vectors it links to and one edge to its component in the task: numbers
 that grow with the vectors, not with the links, so a large group of near copies isn't expanded into pairs.
 
@@ -26,7 +26,7 @@ from .common import cut, mapped
 from .components import components
 from .hnsw import Graph
 
-#: Vectors in a shard, about; least cosine; width of the first beam; audited queries of each search and the share of links they must find.
+#: Vectors in a shard, about; least cosine; width of the first beam; audited queries with links of each search and the mean share of their links to find.
 CAPACITY = 16_384
 COSINE = 0.98
 BEAM = 32
@@ -49,13 +49,30 @@ def _cosines(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return out
 
 
+def _audit(queries: np.ndarray, raw: np.ndarray, least: float, same: bool) -> dict[int, np.ndarray]:
+    """All links, by comparison with every vector, of queries drawn until AUDITED of them have a link other than themselves, or all are drawn."""
+    whole, truth = _unit(raw), {}
+    order = np.random.default_rng(len(queries) + len(raw)).permutation(len(queries))
+    for at in range(0, len(order), ROWS):
+        drawn = order[at : at + ROWS]
+        row, v = np.nonzero(_unit(queries[drawn]) @ whole.T >= least - SLACK)
+        q = drawn[row]
+        fine = (_cosines(queries, raw, q, v) >= least) & ~(same & (q == v))
+        row, v = row[fine], v[fine]
+        ends = np.searchsorted(row, np.arange(len(drawn) + 1))
+        for i, a, b in zip(drawn.tolist(), ends, ends[1:], strict=False):
+            if a < b and len(truth) < AUDITED:
+                truth[i] = v[a:b]
+        if len(truth) >= AUDITED:
+            break
+    return truth
+
+
 def _search(queries: np.ndarray, graph: Graph, raw: np.ndarray, least: float, beam: int, same: bool = False) -> np.ndarray:
     """Links of all queries with a graph's vectors, as bits: a row of bits for each query. same: the queries are those vectors."""
     unit = _unit(queries).astype(np.float32)
     n = len(graph.ids)
-    audited = np.random.default_rng(len(queries) + n).permutation(len(queries))[:AUDITED]
-    whole = _unit(raw)
-    truth = [np.flatnonzero(whole @ (queries[i] / np.linalg.norm(queries[i])) >= least) for i in audited]
+    truth = _audit(queries, raw, least, same)
     while True:
         bits = np.zeros((len(queries), -(-n // 8)), dtype=np.uint8)
         for at in range(0, len(queries), ROWS):
@@ -64,8 +81,8 @@ def _search(queries: np.ndarray, graph: Graph, raw: np.ndarray, least: float, be
             dense = np.zeros((len(unit[at : at + ROWS]), n), dtype=bool)
             dense[q[near], v[near]] = True
             bits[at : at + ROWS] = np.packbits(dense, axis=1)
-        met = sum(int(np.unpackbits(bits[i], count=n)[t].sum()) for i, t in zip(audited, truth, strict=True))
-        if met >= RECALL * sum(map(len, truth)) or beam >= n:
+        recall = [np.unpackbits(bits[i], count=n)[t].mean() for i, t in truth.items()]
+        if not recall or np.mean(recall) >= RECALL or beam >= n:
             return bits
         beam *= 2
 

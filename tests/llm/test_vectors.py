@@ -84,3 +84,37 @@ def test_a_group_of_near_copies_is_one_component_with_all_links(spark):
     rows = [(i, [float(np.float32(v)) for v in base + rng.normal(size=32) * 0.05], 1) for i in range(400)]
     out = run(spark, rows, capacity=150)
     assert {r[2] for r in out} == {0} and out == brute(rows)
+
+
+class Blinkered:
+    """A graph whose search finds no links of some queries until the beam is wide."""
+
+    def __init__(self, vectors, hidden):
+        self.ids, self.unit, self.hidden, self.beams = np.arange(len(vectors)), vectors / np.linalg.norm(vectors, axis=1, keepdims=True), hidden, []
+
+    def within(self, queries, least, beam, own=None):
+        q, v = np.nonzero(queries @ self.unit.T >= least)
+        self.beams.append(beam)
+        if beam < 128:
+            seen = ~np.isin(v, self.hidden) | (False if own is None else own[q] == v)
+            q, v = q[seen], v[seen]
+        return q, v
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_audit_sees_sparse_links(same):
+    x = np.random.default_rng(3).normal(size=(1500, 64))
+    y = x if same else np.random.default_rng(4).normal(size=(1500, 64))
+    a, b, c, d = np.random.default_rng(3000).permutation(1500)[-4:]  # the last that the audit draws
+    x[[a, b]] = y[[c, d]] + 1e-3
+    bits = vectors._search(x, Blinkered(y, [a, b, c, d]), y, 0.98, 32, same)
+    assert np.unpackbits(bits[a])[c] and np.unpackbits(bits[b])[d]
+
+
+def test_audit_is_not_drowned_by_one_group():
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(1500, 64))
+    y[:900] = y[0] + rng.normal(size=(900, 64)) * 1e-3
+    x = y + 1e-4
+    bits = vectors._search(x, Blinkered(y, np.arange(1000, 1030)), y, 0.98, 32)
+    assert all(np.unpackbits(bits[i])[i] for i in range(1000, 1030))
