@@ -1,4 +1,6 @@
-"""Removal of repeated word passages by prefix-partitioned suffix trees.
+"""Removal of repeated word passages by hashes of windows, grouped at suffixes that minimisers choose.
+
+This stands in for prefix-partitioned suffix trees: "tree", "branch" and "leaf" below name groups of equal 64-bit hashes, not nodes of a tree.
 
 A window is a run of `window` words of one document. Every word goes that is covered by a window whose words also start
 earlier (smaller doc_id, or earlier in the same document).
@@ -11,7 +13,7 @@ neighbours), which lets a tree hold an eighth of all suffixes.
 Subtrees. A suffix's path is its prefix, then the words that its windows span. The prefix alone deals the suffixes out to
 tasks; within a task they are sorted by path, so that one prefix's subtree is a run of rows, its branches (equal spans) are runs
 within that run, and any number of groups, of any size, streams through in constant memory. Branches with several leaves are internal
-nodes at least a window deep: maximal repeats. All leaves but the first are repeats there and then. A prefix with several
+nodes at least a window deep (spans, not maximal repeats). All leaves but the first are repeats there and then. A prefix with several
 branches is lengthened: one suffix of each branch is sent on with whole windows as prefixes, where the spans overlap in part only.
 Prefixes with a single leaf, nearly all, end here. Leaves of one branch are merged before the shuffle, batch by batch, so
 a passage that a third of all documents hold is a few rows for each batch.
