@@ -21,7 +21,7 @@ from .plans import generate as G
 from .plans.server import make_server
 from .plans.validate import validate
 from .sources import mbtiles
-from .sources.publish import publish
+from .sources.publish import publish_now
 from .streaming import changes
 
 
@@ -37,7 +37,7 @@ def generate(spark: SparkSession, config: Config, tables: G.Tables) -> list[dict
     for source in config.sources:
         began = time.time()
         n = G.write_mbtiles(source, G.generate(source, tables), source.mbtiles_path)
-        publish(source.mbtiles_path, config.publish, "generate")
+        publish_now(source.mbtiles_path, config.publish, "generate")
         events.append({"event": "generate_complete", "source": source.name, "duration_ms": int((time.time() - began) * 1000)})
         print(f"{source.name}: {n} tiles in {source.mbtiles_path}")
     return events
@@ -52,7 +52,7 @@ def watch(spark: SparkSession, config: Config, tables: G.Tables, feed: str, chec
             with closing(mbtiles.MBTiles(source.mbtiles_path)) as store:
                 put, deleted = store.merge(changed.toLocalIterator())
             if put or deleted:
-                publish(source.mbtiles_path, config.publish, "update")
+                publish_now(source.mbtiles_path, config.publish, "update")
                 print(json.dumps(event.first().asDict()), flush=True)
 
     return changes.watch(changes.read_stream(spark, feed), update, checkpoint, config.updates.debounce_ms, once=once)

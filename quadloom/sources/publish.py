@@ -1,8 +1,9 @@
-"""Publishing a finished tileset file. Only local copies run here; the other backends say what they would run."""
+"""Publishing a finished tileset file. publish() makes local copies and says what other backends are to run; publish_now() runs that too."""
 
 from __future__ import annotations
 
 import shutil
+import subprocess
 from pathlib import Path
 
 from ..config import Publish
@@ -31,3 +32,9 @@ def publish(path: str, settings: Publish, reason: str) -> list[str] | str | None
     if settings.backend == "command":
         return ["sh", "-c", settings.command]
     raise NotImplementedError(f"no network here for publish backend {settings.backend}")
+
+
+def publish_now(path: str, settings: Publish, reason: str) -> None:
+    """Publishes, by the backend's command where there is one; a command that fails raises."""
+    if isinstance(command := publish(path, settings, reason), list):
+        subprocess.run(command, check=True)

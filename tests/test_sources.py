@@ -171,3 +171,18 @@ def test_validation(spark):
     assert all(r[0] == "t" for r in out) and len(out) == 5
     assert validate.layer_issues(good.layers[0], ["id", "geom", "name"], ["a_tile_update_b"]) == []
     assert generate.catalog_tables(spark)(good.layers[0]).count() == 4
+
+
+def test_generate_runs_the_publishing_command(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    from quadloom import __main__ as main
+
+    monkeypatch.setattr(main.G, "generate", lambda source, tables: None)
+    monkeypatch.setattr(main.G, "write_mbtiles", lambda source, tiles, path: 0)
+    source = config.Source("s", 0, 1, (), mbtiles_path="f")
+    made = lambda command: config.Config((source,), publish=config.Publish("command", command=command))
+    main.generate(spark, made(f"touch {tmp_path}/done"), None)
+    assert (tmp_path / "done").exists()
+    with pytest.raises(subprocess.CalledProcessError):
+        main.generate(spark, made("exit 3"), None)
