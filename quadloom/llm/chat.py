@@ -12,8 +12,12 @@ ancestors' tokens fill (neighbouring ones are merged): a token attends to those
 
 How it is computed. Turns stream through one sort by conversation; a running digest names each node. The distinct paths of node names
 are sorted by ranges, which is the depth-first order; a node belongs to the first path through it. Starts are sums over that
-order: within a path, within a range, then over ranges. No group is gathered: a first turn that a third of all conversations
-share is one partial aggregate, and conversations of any length stream.
+order: within a path, within a range, then over ranges. Texts stream and are never gathered; a path is one row with the names of its
+nodes, so a conversation's turns should number some millions at most. A first turn that a third of all conversations share is one
+partial aggregate, and what is joined to it is a plain join that adaptive execution can split.
+
+Reading back goes by the sequence alone: a conversation is the place of its last turn, whose intervals say which stretches of the tree's
+sequence it attends to, and position ids say in which order those are. Stretches find their nodes by blocks of BLOCK tokens.
 
 Defined results: a null role or text is empty. Rows of a conversation are ordered by turn (nulls first), then role, then text;
 repeated rows are turns of their own. Rows with a null conv_id are one conversation without an id. Other columns are ignored. An empty table gives
@@ -32,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, mapped
-from .tokens import BYTE_BPE, byte_bpe
+from .common import cut, mapped, slices
+from .tokens import BYTE_BPE, audit, byte_bpe, ordinary
 
 BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 #: What a text must not contain unbroken; the first four are the template's own.
@@ -45,6 +49,8 @@ LOSS_ROLE = "assistant"
 NO_CONVERSATION = -(1 << 63)
 #: Bits of monotonically_increasing_id that number the rows of a partition.
 ROW_BITS = 33
+#: Tokens of a tree's sequence in a block, by which stretches find the nodes that start in them.
+BLOCK = 256
 
 
 def escape(text: str) -> str:
@@ -92,7 +98,7 @@ class Codec:
 
     def encode_turn(self, role: str, text: str, first: bool) -> tuple[list[int], int, int, int]:
         """Ids, the loss span in them, and the code points formatted."""
-        plain = byte_bpe(self.path).encode_ordinary
+        plain = lambda t: ordinary(t, self.path).tolist()
         role_, text_ = escape(role), escape(text)
         head = [self.control(BEGIN)] * first + [self.control(OPEN), *plain(role_), self.control(CLOSE)]
         body = plain(text_)
@@ -133,8 +139,10 @@ def _name_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoder(codec: Codec):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [codec.encode_turn(r, t, d == 0) for d, r, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        for batch in slices(batches, "text"):
+            depths, roles, texts = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            audit([escape(t) for t in texts], codec.path, special=False)
+            found = [codec.encode_turn(r, t, d == 0) for d, r, t in zip(depths, roles, texts, strict=True)]
             lists = pa.array([f[0] for f in found], pa.list_(pa.int32()))
             rest = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists, *rest], names=["node", "parent", "depth", "tokens", "loss_from", "loss_to", "n_chars"])
@@ -203,49 +211,79 @@ def prefix_forest(named: DataFrame, codec: Codec = Codec()) -> DataFrame:
     placed = cut(placed.join(roots, "tree").select("node", "owner", "n", (F.col("at") - F.col("root")).alias("start")))
     along = steps.join(placed, "node").select("rank", "depth", "owner", "node", "start", "n").repartition("rank").sortWithinPartitions("rank", "depth")
     located = mapped(along, _locate, "node string, position long, intervals array<struct<from: bigint, to: bigint>>")
-    out = nodes.join(placed.select("node", "start"), "node").join(located, "node")
+    out = cut(nodes.join(placed.select("node", "start"), "node").join(located, "node"))
     ids = F.transform("tokens", lambda x, i: (F.col("position") + i).cast("int"))
     return out.select("tree", "start", "node", "parent", "depth", "tokens", ids.alias("position_ids"), "intervals", "loss_from", "loss_to", "n_chars")
 
 
 def _reader(codec: Codec):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+    """Over the nodes that conversations attend to, sorted by conversation and position: a row for each conversation."""
 
-        def closed():
-            conv, turns, all_, loss, loss_chars, chars = state
-            return conv, turns, all_.hexdigest(), loss_chars, loss.hexdigest(), chars
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
+        names = [x.split()[0] for x in READ.split(", ")]
+        conversation = None
 
         def batch_of(rows):
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            names = ("conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
         for batch in batches:
             done = []
-            for conv, depth, tokens, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or state[0] != conv:
-                    if state is not None:
-                        done.append(closed())
-                    state = [conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0]
-                formatted = codec.decode(tokens)
-                [(role, text)] = parse_conversation(formatted if depth == 0 else BEGIN + formatted)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                learnt = unescape(codec.decode(tokens[a:b]))
-                state[3].update(learnt.encode())
-                state[4] += len(learnt)
-                state[5] += len(formatted)
+            for conv, positions, tokens, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if conversation is None or conversation.conv != conv:
+                    if conversation is not None:
+                        done.append(conversation.row())
+                    conversation = _Conversation(conv)
+                conversation.add(codec, positions, tokens, a, b)
             yield batch_of(done)
-        if state is not None:
-            yield batch_of([closed()])
+        if conversation is not None:
+            yield batch_of([conversation.row()])
 
     return read
 
 
+READ = "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, context_sha256 string, positions_run_on boolean"
+
+
+class _Conversation:
+    """What one conversation's nodes, in the order of their positions, are read back to."""
+
+    def __init__(self, conv: int):
+        self.conv, self.turns, self.chars, self.learnt, self.next, self.run_on = conv, 0, 0, 0, 0, True
+        self.all, self.loss, self.formatted, self.context = (hashlib.sha256() for _ in range(4))
+
+    def add(self, codec: Codec, positions: list[int], tokens: list[int], loss_from: int, loss_to: int) -> None:
+        formatted = codec.decode(tokens)
+        [(role, text)] = parse_conversation(formatted if self.turns == 0 else BEGIN + formatted)
+        self.turns += 1
+        self.all.update(f"{role}\n{text}\n".encode())
+        learnt = unescape(codec.decode(tokens[loss_from:loss_to]))
+        self.loss.update(learnt.encode())
+        self.learnt += len(learnt)
+        self.chars += len(formatted)
+        self.context = self.formatted.copy()  # what the last turn attends to before itself
+        self.formatted.update(formatted.encode())
+        self.run_on &= positions == list(range(self.next, self.next + len(tokens)))
+        self.next += len(tokens)
+
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.all.hexdigest(), self.learnt, self.loss.hexdigest(), self.chars, self.context.hexdigest(), self.run_on
+
+
 def read_back(named: DataFrame, forest: DataFrame, codec: Codec = Codec()) -> DataFrame:
-    """A row for each conversation, all of it decoded from the forest's tokens: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
-    along = named.select("conv", "depth", "node").join(forest.select("node", "tokens", "loss_from", "loss_to"), "node")
-    along = along.select("conv", "depth", "tokens", "loss_from", "loss_to").repartition("conv").sortWithinPartitions("conv", "depth")
-    out = mapped(along, _reader(codec), "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """A row for each conversation, all of it decoded from the stretches of its tree's sequence that its last turn attends to.
+
+    (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, context_sha256, positions_run_on): context is the formatted text that
+    the last turn's ancestor intervals hold; positions run on if the position ids are 0, 1, 2 ... through all turns.
+    """
+    ends = named.groupBy("conv").agg(F.max_by("node", "depth").alias("node"))
+    own = F.struct(F.col("start").alias("from"), (F.col("start") + F.size("tokens")).alias("to"))
+    spans = ends.join(forest.select("node", "tree", F.concat("intervals", F.array(own)).alias("spans")), "node")
+    block = lambda place: F.floor(place / BLOCK)
+    spans = spans.select("conv", "tree", F.explode("spans").alias("s")).select("conv", "tree", "s.from", "s.to")
+    blocks = spans.select("*", F.explode(F.sequence(block(F.col("from")), block(F.col("to") - 1))).alias("block"))
+    nodes = forest.select("tree", block(F.col("start")).alias("block"), "start", "position_ids", "tokens", "loss_from", "loss_to")
+    along = blocks.join(nodes, ["tree", "block"]).where("start >= `from` AND start < `to`").select("conv", "position_ids", "tokens", "loss_from", "loss_to")
+    along = along.repartition("conv").sortWithinPartitions("conv", F.col("position_ids")[0])
+    out = mapped(along, _reader(codec), READ)
     return out.select(F.when(F.col("conv") != NO_CONVERSATION, F.col("conv")).alias("conv_id"), *out.columns[1:])

@@ -74,7 +74,7 @@ SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha
 
 
 def _escaped(text: str) -> str:
-    """Backslashes doubled, then control strings broken after their first character; sizes are all that is compared."""
+    """Backslashes doubled, then control strings broken after their first character."""
     out = f"replace({text}, '\\', '\\\\')"
     for c in chat.CONTROL:
         out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
@@ -85,12 +85,16 @@ OP3 = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    '{chat.OPEN}' || {_escaped("role")} || '{chat.CLOSE}' || {_escaped("text")} || '{chat.END}' AS formatted FROM turns
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST({len(chat.BEGIN)} + sum({len(chat.OPEN + chat.CLOSE + chat.END)} + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST({len(chat.BEGIN)} + sum(length(formatted)) AS BIGINT) AS formatted_chars,
+  sha256(coalesce('{chat.BEGIN}' || string_agg(formatted, '' ORDER BY i) FILTER (WHERE i < n), '')) AS context_sha256, TRUE AS positions_run_on
+FROM placed GROUP BY conv_id
 """
 
 OP9 = f"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, slices
-from .tokens import BYTE_BPE, encode
+from .tokens import BYTE_BPE, audit, encode
 
 #: Sequence ids: the partition's number, then this many bits for the sequences of one task.
 TASK_BITS = 40
@@ -167,8 +167,10 @@ def _text_packer(limits: Limits, end_id: int, path: str):
 
         def examples() -> Iterator[tuple[object, int]]:
             for batch in slices(batches, "text"):
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([encode(text or "", path), end])
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                audit(texts, path)
+                for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                    ids = np.concatenate([encode(text, path), end])
                     yield (doc, ids), len(ids)
 
         columns: list[list] = [[] for _ in range(7)]

@@ -10,8 +10,9 @@ reshapes the tree but encodes nothing else.
 Trees are rows of the form {chars, tokens}, arrays in level order with the root first, so they can be stored with the documents.
 
 Defined results: a null or empty text has one empty leaf and no tokens. Edits are clipped to the text; a null insertion is empty and null
-numbers are 0. Rows are independent: repeated rows, null ids and other columns change nothing. Strings of special tokens are ordinary
-text. An empty table gives an empty result.
+numbers are 0. Rows are independent: repeated rows, null ids and other columns change nothing. A special token's string is one
+token, as the tokenizers library counts it; it holds no white space, so it lies within one leaf. All edits of a document travel in one row
+beside it, so they should fit a task's memory as the text itself does. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, slices
-from .tokens import BYTE_BPE, byte_bpe
+from .tokens import BYTE_BPE, audit, encode
 
 LEAF, GROWN = 1024, 4
 CONTEXT = 3
@@ -60,7 +61,7 @@ class SegmentTree:
 
     def _count(self, text: str) -> int:
         self.encoded += len(text)
-        return len(byte_bpe(self.path).encode_ordinary(text))
+        return len(encode(text, self.path))
 
     def _shape(self, chars: list[int], tokens: list[int]) -> None:
         """Builds the sums over given leaves."""
@@ -129,7 +130,9 @@ _TREE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32
 def _planter(path: str, leaf: int):
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            trees = [SegmentTree(t or "", path, leaf) for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            audit(texts, path)
+            trees = [SegmentTree(t, path, leaf) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([{"chars": t.chars, "tokens": t.tokens} for t in trees], _TREE), pa.array([t.total for t in trees], pa.int64())], names=["doc_id", "text", "tree", "n_tokens"])
 
     return plant
@@ -174,9 +177,10 @@ def standard_edits(n: int) -> list[tuple[int, int, str]]:
 def _recounter(path: str, leaf: int):
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                t = SegmentTree(text or "", path, leaf)
+            rows, texts = [], [t or "" for t in batch.column(1).to_pylist()]
+            audit(texts, path)
+            for text in texts:
+                t = SegmentTree(text, path, leaf)
                 before, whole = t.total, t.encoded
                 for e in standard_edits(len(t.text)):
                     t.edit(*e)

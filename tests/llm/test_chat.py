@@ -28,7 +28,9 @@ def brute(rows):
     for c, turns in by.items():
         turns = [(r, t) for _, _, r, t in sorted(turns)]
         loss = "".join(t for r, t in turns if r == "assistant")
-        out.append((c, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(chat.format_conversation(turns))))
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        context = chat.format_conversation(turns[:-1]) if len(turns) > 1 else ""
+        out.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(chat.format_conversation(turns)), sha(context), True))
     return sorted(out, key=repr)
 
 
@@ -81,12 +83,12 @@ def test_shared_turns_and_odd_rows(spark):
         turns = [("system", "same"), ("user", f"q{c % 5}"), ("assistant", f"a{c % 10}"), ("user", f"x{c % 20}")][: c % 4 + 1]
         rows += [(c, i, r, t) for i, (r, t) in enumerate(turns)]
     rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (50, None, None, None), (50, 0, "assistant", ""), (50, 0, "assistant", ""), (None, 3, "user", "no id"), (None, 1, "assistant", "\\<s>")]
-    rows += [(60, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(300)] + [(61, 0, "assistant", "long " * 30_000)]
+    rows += [(60, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(300)] + [(61, 0, "assistant", "long " * 30_000), (62, 0, "user", " " * 1_100_000), (62, 1, "assistant", "a" + "\n" * 1_100_000 + "b")]
     df = spark.createDataFrame([(*r, "n") for r in rows], "conv_id long, turn long, role string, text string, node string")
     named, forest, got = run(df)
     assert got == brute(rows)
     check_forest(named, forest)
-    assert forest.where("depth = 0").count() == 6
+    assert forest.where("depth = 0").count() == 7
 
 
 def test_empty(spark):

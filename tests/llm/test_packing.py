@@ -55,7 +55,7 @@ def test_documents_of_a_table(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, 5), (2, "", 6), (3, "word " * 9000, 7), (4, "a", 8)]
+    rows = [(1, None, 5), (2, "", 6), (3, "word " * 9000, 7), (4, "a", 8), (5, " " * 1_100_000, 9), (6, "x" + "\n\t \u3000" * 300_000 + "<|endoftext|> y", 9), (None, "no id", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int")
     assert check_pieces(packing.pack_texts(df).collect(), {d: [*tokens.encode(t or "").tolist(), 1] for d, t, _ in rows}, 2048) == 0
     assert packing.pack_texts(df.limit(0)).collect() == []
