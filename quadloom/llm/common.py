@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A slice of an Arrow batch holds at most this many bytes of text (one longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words whose hash a Python worker keeps at hand.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+#: Spark's setting by which a checkpoint's files go when its frame is no longer in use.
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Sees to it that checkpoint() has a folder: the cluster's own, or a temporary one if the session names none."""
-    if not spark.sparkContext.getCheckpointDir():
+    """Sees to it that checkpoint() has a folder, the cluster's own, and that its files go with the frames that they hold.
+
+    A temporary folder is made only where the session names none and all runs in one process; on a cluster that raises.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", "")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    context._jsc.sc().conf().setIfMissing(CLEAN, "true")
     return spark
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its rows in the checkpoint folder, where they outlive the executors; Spark drops the files with the frame."""
+    """df with its rows in the checkpoint folder, where they outlive the executors; the files go when the frame is collected as garbage."""
     with_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df with its whole-number keys computed anew, so that a join by them deals it out once more.
+
+    A table grouped by a key is dealt out by it already, and a join would read it in the stage that groups; adaptive execution
+    splits a hot key only where both sides of a join come straight from an exchange. The grouped side has one row for each key.
+    """
+    return df.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
+
+
 def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -1,7 +1,10 @@
 """Connected components of a graph given as an edge table, by alternating large-star and small-star rounds.
 
-Each round is two grouped minima and two joins, so a hub of any degree is split among tasks by skew-join handling, and
-no edge ever visits the driver. Rounds grow with the logarithm of the graph's size; each is cut by a checkpoint.
+Each round is two grouped minima and two joins; no edge ever visits the driver. A hub's minimum is merged before the shuffle, and the
+minima are dealt out apart from the edges that they join, so adaptive execution splits a hub's edges among tasks. Rounds grow with
+the logarithm of the graph's size; each is cut by a checkpoint.
+
+Defined results: rows with a null end and loops are ignored, repeated edges are one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,11 +20,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.join(apart(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        out = down.join(apart(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
     return out.where("u != v").distinct()
 
 
