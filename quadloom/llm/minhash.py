@@ -6,11 +6,14 @@ Documents that agree in a band are candidates. A candidate becomes a link only a
 
 Which candidates are compared: documents with equal sets are one class. In each band bucket every class is first
 compared with one centre, picked by a hash, so a bucket of n classes yields n pairs. Classes that these links connect
-need no more comparison among each other. What is left are classes of one bucket in different components. For each of them
-the shingles are counted that any class of another component holds: no link to another component can share more, which rules out
-a copy with many edits of its own. The others are gathered into the clusters that their buckets connect, a cluster is dealt into
-blocks of about CROWD classes (fewer if their sets are large), and every two blocks meet in one task that counts all intersections at once and returns one link for each pair of
-components. Every pair of a bucket is thus compared, connected already or shown to be too unlike, and no pairs within a group are listed.
+need no more comparison among each other. What is left are classes of one bucket in different components. A link between
+components needs shingles that both hold, so those that no class of another component holds are counted first: too many
+of them and a class has no link beyond its component, which rules out a copy with many edits of its own. The others meet by prefixes.
+Shingles are ordered from rare to common; two sets that are alike enough share one among the first of each (so many as may be
+missing, and one), so only classes that share such a key are compared. Classes that keys connect form a cluster. A cluster of
+CROWD classes at most is compared in one task, by counting all its intersections at once; in a larger one the classes of each key are, in blocks
+where these are many (keys with the same classes count once). A task returns one link for each pair of components. Every pair
+of a bucket is thus compared, connected already or shown to be too unlike, and no pairs within a group are listed.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept. A text with fewer words
 than a shingle has its whole word sequence as its only shingle. Rows that share a doc_id are one document, linked to all
@@ -25,9 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, joined_hash, mapped, mix64, run_hashes, slices, texts_of, word_hashes
+from .common import WordHashes, apart, cut, joined_hash, mapped, mix64, run_hashes, slices, texts_of, word_hashes
 from .components import components
 
 #: Signature: BANDS bands of ROWS coordinates. At a Jaccard index of 0.85 a pair shares no band with probability 3e-7,
@@ -182,17 +186,55 @@ def _crowd(percent: int):
     return compare
 
 
-def _crossed(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between labels, of all (bucket, rep, k1, n, label) whose buckets hold several labels."""
-    several = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("rep").alias("head")).where("least < most")
-    rows = cut(rows.join(several.select("bucket", "head"), "bucket"))
-    clusters = components(rows.select(F.col("rep").alias("u"), F.col("head").alias("v"))).toDF("rep", "cluster")
-    nodes = rows.select("rep", "k1", "n", "label").distinct().join(clusters, "rep")
-    blocks = nodes.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n") / CROWD_SHINGLES)).alias("blocks"))
-    dealt = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+def _spread(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label, shingle) of nodes (node, rep, k1, label)."""
+    held = sets.join(nodes.select("node", F.col("rep").alias("doc_id"), "k1", "label"), ["doc_id", "k1"])
+    return mapped(held.select("node", "label", "shingles"), _spreader, "node long, label long, shingle long")
+
+
+def _across(spread: DataFrame) -> DataFrame:
+    """(shingle, held) of the shingles that nodes of different labels hold, and how many nodes do."""
+    found = spread.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("held"))
+    return apart(found.where("least < most").select("shingle", "held"), "shingle")
+
+
+def _keys(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of the shingles by which nodes (node, rep, k1, n, label) must meet to be linked across labels; keys with the same nodes count once."""
+    spread = _spread(nodes, sets)
+    shared = spread.join(_across(spread), "shingle").select("node", "shingle", "held").join(nodes.select("node", "n"), "node")
+    # Shingles that aren't shared come first in the order: of the prefix, they take their number away.
+    own = W.partitionBy("node")
+    spare = F.count("*").over(own) - F.ceil(F.col("n") * percent / 100) + 1
+    place = F.row_number().over(own.orderBy("held", "shingle"))
+    keys = cut(shared.select("node", "shingle", spare.alias("spare"), place.alias("place")).where("place <= spare").select(F.col("shingle").alias("key"), "node"))
+    held = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
+    return keys.join(apart(held.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), "key")
+
+
+def _crowds(nodes: DataFrame, keys: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(kind, id, p, q, block, label, rep, k1): the pairs of blocks to compare; a block with itself where p = q.
+
+    A unit (kind, id) is a cluster of nodes that keys connect, or a key if its cluster is larger than a crowd.
+    """
+    heads = apart(keys.groupBy("key").agg(F.min("node").alias("head")), "key")
+    clusters = components(keys.join(heads, "key").select(F.col("node").alias("u"), F.col("head").alias("v"))).toDF("node", "cluster")
+    whole = cut(nodes.join(clusters, "node"))
+    large = whole.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where((F.col("c") > crowd) | (F.col("s") > CROWD_SHINGLES)).select("cluster")
+    unit = lambda df, kind, id_: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), "rep", "k1", "n", "label")
+    small = unit(whole.join(apart(large, "cluster"), "cluster", "left_anti"), 0, "cluster")
+    split = unit(whole.join(apart(large, "cluster"), "cluster", "left_semi").join(keys, "node"), 1, "key")
+    units = cut(small.union(split))
+    size = F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("n") / CROWD_SHINGLES))
+    blocks = units.groupBy("kind", "id").agg(size.alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    dealt = units.join(apart(blocks.select("kind", "id", "blocks"), "id"), ["kind", "id"]).withColumn("block", F.pmod(F.xxhash64("rep", "k1"), F.col("blocks")))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = met.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "label", F.col("rep").alias("doc_id"), "k1")
-    return met.join(sets, ["doc_id", "k1"]).select("cluster", "p", "q", "block", "label", "shingles").groupBy("cluster", "p", "q").applyInArrow(_crowd(percent), "a long, b long")
+    return met.select("kind", "id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "label", "rep", "k1")
+
+
+def _crossed(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the labels of nodes (node, rep, k1, n, label)."""
+    met = _crowds(nodes, _keys(nodes, sets, percent)).withColumnRenamed("rep", "doc_id")
+    return met.join(sets, ["doc_id", "k1"]).select("kind", "id", "p", "q", "block", "label", "shingles").groupBy("kind", "id", "p", "q").applyInArrow(_crowd(percent), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     banded = own.select(F.col("rep"), F.col("k1"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     spread = F.xxhash64("rep", "bucket")
     centres = banded.groupBy("bucket").agg(F.count("*").alias("held"), F.min(F.struct(spread.alias("o"), "rep", "k1", "n")).alias("c")).where("held > 1").select("bucket", F.col("c.rep").alias("y"), F.col("c.k1").alias("ky"), F.col("c.n").alias("ny"))
-    members = cut(banded.join(centres, "bucket"))  # only buckets with two classes at least
+    members = cut(banded.join(apart(centres, "bucket"), "bucket"))  # only buckets with two classes at least
 
     needed = members.select(F.col("rep").alias("doc_id"), "k1").distinct()
     texts = docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -234,17 +276,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     same = present.join(repeated, "doc_id", "left_semi").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     linked = components(_verified(stars, sets, percent).union(same), "a", "b")
 
-    # Buckets that still hold several components: all outside the largest against all others.
+    # Classes of buckets that still hold several components, if enough of their shingles are held by other components.
     labelled = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "k1", "n", F.coalesce("label", "rep").alias("label"))
-    counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("m")).where("labels > 1").select("bucket", F.col("m.label").alias("major"))
-    mixed = cut(labelled.join(largest, "bucket"))
-    nodes = mixed.select(F.col("rep").alias("doc_id"), "label").distinct()
-    spread = mapped(sets.join(nodes, "doc_id").select("doc_id", "label", "shingles"), _spreader, "node long, label long, shingle long")
-    shared = spread.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
-    bounds = cut(spread.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("c")).withColumnRenamed("node", "rep"))
-    mixed = mixed.join(bounds, "rep").where(F.col("c") * 100 >= F.col("n") * percent)
-    late = _crossed(mixed.select("bucket", "rep", "k1", "n", "label"), sets, percent)
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    mixed = cut(labelled.join(apart(several, "bucket"), "bucket", "left_semi").select(F.xxhash64("rep", "k1").alias("node"), "rep", "k1", "n", "label").distinct())
+    spread = _spread(mixed, sets)
+    bounds = spread.join(_across(spread), "shingle").groupBy("node").agg(F.count("*").alias("c"))
+    nodes = cut(mixed.join(bounds, "node").where(F.col("c") * 100 >= F.col("n") * percent).drop("c"))
+    late = _crossed(nodes, sets, percent)
     merged = components(late, "a", "b")
 
     # A document that holds several classes (repeated doc_id) joins their components; rows find theirs by set.

@@ -80,3 +80,68 @@ def test_chain_of_copies_that_do_not_all_link(spark):
             t[j * 5] = f"y{j}"
         rows.append((i, " ".join(t)))
     assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
+
+
+def pairs_of(crowds):
+    """How many pairs of classes the tasks compare."""
+    sizes = {}
+    for r in crowds.collect():
+        sizes.setdefault((r.kind, r.id, r.p, r.q), {}).setdefault(r.block, set()).add((r.rep, r.k1))
+    return sum(len(x[p]) * len(x[q]) if p != q else len(x[p]) * (len(x[p]) - 1) // 2 for (_, _, p, q), x in sizes.items())
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """Pairs that the search among what stars leave compared, call by call."""
+    found, own = [], minhash._crowds
+
+    def counted(nodes, keys, crowd=minhash.CROWD):
+        out = own(nodes, keys, crowd)
+        found.append(pairs_of(out))
+        return out
+
+    monkeypatch.setattr(minhash, "_crowds", counted)
+    return found
+
+
+def test_classes_that_share_most_but_not_enough_are_not_compared(spark, compared):
+    common = " ".join(f"c{i}" for i in range(100))
+    texts = [common + " " + " ".join(f"u{n}_{i}" for i in range(21)) for n in range(1500)]  # similarity 0.69
+    got = run(spark, list(enumerate(texts)), 3, 85)
+    assert got == sorted([(i, 119, i, True) for i in range(1500)], key=repr)
+    assert compared == [0]
+
+
+def test_chains_of_classes_are_compared_by_key(spark, compared, monkeypatch):
+    """Neighbours in a chain share much, so all are one cluster; each is compared with those that share a key alone."""
+    monkeypatch.setattr(minhash._crowds, "__defaults__", (20,))
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(n, " ".join(words[n * 8 : n * 8 + 60])) for n in range(90)]
+    assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
+    assert compared[0] < 90 * 89 // 10
+
+
+def test_large_clusters_against_brute_force(spark, monkeypatch):
+    """Crowds of four: clusters are split by key and into blocks."""
+    own = minhash._crowds
+    monkeypatch.setattr(minhash, "_crowds", lambda nodes, keys: own(nodes, keys, 4))
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            t[rng.randrange(80)] = f"e{rng.randrange(30)}"
+        rows.append((i, " ".join(t)))
+    assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
+
+
+def test_two_texts_under_one_id_in_a_cluster(spark):
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(30):
+        t = list(base)
+        t[i] = f"x{i}"
+        t[(i * 7) % 60] = f"y{i}"
+        rows.append((i // 2, " ".join(t)))
+    assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
