@@ -15,6 +15,7 @@ tasks; within a task they are sorted by path, so that one prefix's subtree is a
 within that run, and any number of groups, of any size, streams through in constant memory. Branches with several leaves are internal
 nodes at least a window deep (spans, not maximal repeats). All leaves but the first are repeats there and then. A prefix with several
 branches is lengthened: one suffix of each branch is sent on with whole windows as prefixes, where the spans overlap in part only.
+Either way a repeat is two equal 64-bit hashes (prefix and span, or two of the window): 10^12 windows hold an unlike pair with a probability of 10^-15.
 Prefixes with a single leaf, nearly all, end here. Leaves of one branch are merged before the shuffle, batch by batch, so
 a passage that a third of all documents hold is a few rows for each batch.
 
@@ -34,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, joined_hash, mapped, run_hashes, slices, texts_of, within, word_hashes
+from .common import WordHashes, cut, joined_hash, mapped, mix64, run_hashes, slices, texts_of, within, word_hashes
 
 WINDOW, PREFIX = 20, 6
 #: A place packs a window's start and the number of neighbours after it that are meant as well.
 COUNT_BITS = 5
 FLAG, LEAF, BRANCH = 0, 1, 2
+#: Makes a second, independent hash of a window out of its words' hashes.
+OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 def _least_starts(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -166,16 +169,16 @@ def _lengthener(window: int):
             hashes, ends = word_hashes(texts_of(batch.column(2)), known)
             if len(hashes) < window:
                 continue
-            windows = run_hashes(hashes, window)
+            windows, others = run_hashes(hashes, window), run_hashes(mix64(hashes ^ OTHER), window)
             places = batch.column(4)
             packed, row = np.asarray(places.flatten()), np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(places), 0)))
             count = packed & ((1 << COUNT_BITS) - 1)
             each = np.repeat(np.arange(len(packed)), count)
             start = (packed >> COUNT_BITS)[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             row = row[each]
-            found = windows[ends[row] + start]
+            at = ends[row] + start
             ids, prints = np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row]
-            yield _batch(np.full(len(row), LEAF), ids, prints, (start << COUNT_BITS) + 1, found, joined_hash(found, found))
+            yield _batch(np.full(len(row), LEAF), ids, prints, (start << COUNT_BITS) + 1, windows[at], others[at])
 
     return lengthen
 
