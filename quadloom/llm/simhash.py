@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import apart, cut
 
 BITS = 64
 #: One counter of two neighbouring lanes of a sum each.
@@ -127,8 +127,23 @@ def successors(keys: DataFrame) -> DataFrame:
     return linked.join(F.broadcast(chain), "part").select("doc", "print", follower["doc"].alias("next_doc"), follower["print"].alias("next_print"))
 
 
-def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document against an edited text (its last quarter from the next document's beginning) and against the next document."""
+def _reach(found: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, fingerprint): (fingerprint, class_id, asked) of the distinct fingerprints, and (fingerprint, near_id, distance) of those asked for.
+
+    Documents of equal fingerprints are a class, named by its smallest id; asked for are those with an id divisible by 20.
+    """
+    classes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.bool_or(F.col("doc_id") % 20 == 0).alias("asked")))
+    pairs = within_radius(classes.where("asked"), classes, radius)
+    return classes, pairs.join(classes.select(F.col("fingerprint").alias("entry"), F.col("class_id").alias("near_id")), "entry").select(F.col("query").alias("fingerprint"), "near_id", "distance")
+
+
+def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Every document against an edited text (its last quarter from the next document's beginning) and against the next document.
+
+    class_id names the documents of an equal fingerprint (null without an id); a document whose id is divisible by 20 has, of the other classes
+    that the block tables find within the radius, the nearest (near_class_id, near_distance; of equally near ones the smallest id) and their number
+    (n_near); others have null there.
+    """
     base = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_DOC)).alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("print"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     order = cut(successors(base.select("doc", "print")))
     # The next document's beginning goes to the document that it is to end; sizes are needed first to cut it.
@@ -144,8 +159,14 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     side = lambda late, column: F.max(F.when(F.col("late") == late, F.col(column)))
     found = cut(found.groupBy("doc", "print").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), side(False, "fingerprint").alias("f"), side(True, "fingerprint").alias("e")))
     following = found.select(F.col("doc").alias("next_doc"), F.col("print").alias("next_print"), F.col("f").alias("g"))
-    out = found.join(order, ["doc", "print"]).join(following, ["next_doc", "next_print"])
-    return out.select(F.when(F.col("doc") != NO_DOC, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", hexadecimal(F.col("f")).alias("fingerprint"), hexadecimal(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"))
+    classes, near = _reach(found.where(F.col("doc") != NO_DOC).select(F.col("doc").alias("doc_id"), F.col("f").alias("fingerprint")), radius)
+    nearest = near.groupBy("fingerprint").agg(F.min(F.struct("distance", "near_id")).alias("near"), F.count("*").alias("n_near")).withColumnRenamed("fingerprint", "f")
+    classes = classes.select(F.col("fingerprint").alias("f"), "class_id").join(apart(nearest, "f"), "f", "left")
+    named = F.col("doc") != NO_DOC
+    asked = lambda c: F.when(named & (F.col("doc") % 20 == 0), c)
+    out = found.join(order, ["doc", "print"]).join(following, ["next_doc", "next_print"]).join(apart(classes, "f"), "f", "left")
+    searched = [F.when(named, F.col("class_id")).alias("class_id"), asked(F.col("near.near_id")).alias("near_class_id"), asked(F.col("near.distance")).alias("near_distance"), asked(F.coalesce("n_near", F.lit(0).cast("long"))).alias("n_near")]
+    return out.select(F.when(F.col("doc") != NO_DOC, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", hexadecimal(F.col("f")).alias("fingerprint"), hexadecimal(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"), *searched)
 
 
 def classes_in_reach(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,9 +178,7 @@ def classes_in_reach(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_i
     """
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
     found = cut(fingerprints(base, ["doc_id"]))
-    classes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.bool_or(F.col("doc_id") % 20 == 0).alias("asked")))
-    pairs = within_radius(classes.where("asked"), classes, radius)
-    near = pairs.join(classes.select(F.col("fingerprint").alias("entry"), F.col("class_id").alias("near_id")), "entry").select(F.col("query").alias("fingerprint"), "near_id", "distance")
+    classes, near = _reach(found, radius)
     members = found.join(classes.select("fingerprint", "class_id"), "fingerprint")
     own = members.select("doc_id", "class_id", F.col("class_id").alias("near_id"), F.lit(0).alias("distance"))
     return own.union(members.where("doc_id % 20 = 0").join(near, "fingerprint").select("doc_id", "class_id", "near_id", "distance"))

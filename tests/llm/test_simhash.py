@@ -127,3 +127,14 @@ def test_query_returns_the_class_of_every_document(spark, docs):
     want = {(d, least[p], least[p], 0) for d, p in prints.items()}
     want |= {(d, least[p], least[q], ((p ^ q) & mask).bit_count()) for d, p in prints.items() if d % 20 == 0 for q in least if q != p and ((p ^ q) & mask).bit_count() <= simhash.RADIUS}
     assert sorted(tuple(r) for r in simhash_neighbours(spark, DATA).collect()) == sorted(want)
+
+
+def test_edited_fingerprints_name_the_nearest_class(spark, docs):
+    reach = {}
+    for r in simhash.classes_in_reach(docs).collect():
+        reach.setdefault(r.doc_id, []).append((r.distance, r.near_id))
+    for r in simhash.edited_fingerprints(docs).collect():
+        (own,) = [c for d, c in reach[r.doc_id] if not d]
+        others = sorted(x for x in reach[r.doc_id] if x[0])
+        assert r.class_id == own
+        assert (r.near_distance, r.near_class_id, r.n_near) == ((*(others[0] if others else (None, None)), len(others)) if r.doc_id % 20 == 0 else (None, None, None))
