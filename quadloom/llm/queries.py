@@ -65,6 +65,11 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audits of op9's searches saw, by label."""
+    return vectors.recall(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
@@ -81,4 +86,5 @@ QUERIES: dict[str, Query] = {
     "op9_embeddings": op9_embeddings,
     "op10_sharding": op10_sharding,
     "simhash_neighbours": simhash_neighbours,
+    "embedding_recall": embedding_recall,
 }

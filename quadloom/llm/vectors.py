@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mapped
+from .common import apart, cut, mapped
 from .components import components
 from .hnsw import Graph
 
@@ -68,8 +68,11 @@ def _audit(queries: np.ndarray, raw: np.ndarray, least: float, same: bool) -> di
     return truth
 
 
-def _search(queries: np.ndarray, graph: Graph, raw: np.ndarray, least: float, beam: int, same: bool = False) -> np.ndarray:
-    """Links of all queries with a graph's vectors, as bits: a row of bits for each query. same: the queries are those vectors."""
+def _search(queries: np.ndarray, graph: Graph, raw: np.ndarray, least: float, beam: int, same: bool = False, tally: np.ndarray | None = None) -> np.ndarray:
+    """Links of all queries with a graph's vectors, as bits: a row of bits for each query. same: the queries are those vectors.
+
+    tally: to it are added the audited queries, their links and how many of these the search found.
+    """
     unit = _unit(queries).astype(np.float32)
     n = len(graph.ids)
     truth = _audit(queries, raw, least, same)
@@ -83,6 +86,9 @@ def _search(queries: np.ndarray, graph: Graph, raw: np.ndarray, least: float, be
             bits[at : at + ROWS] = np.packbits(dense, axis=1)
         recall = [np.unpackbits(bits[i], count=n)[t].mean() for i, t in truth.items()]
         if not recall or np.mean(recall) >= RECALL or beam >= n:
+            if tally is not None:
+                links = [len(t) for t in truth.values()]
+                tally += np.array([len(links), sum(links), round(float(np.dot(links, recall))) if links else 0])
             return bits
         beam *= 2
 
@@ -144,7 +150,7 @@ def _graph_builder(table: pa.Table) -> pa.Table:
     order = np.argsort(np.asarray(table["cid"]), kind="stable")
     ids, sizes = np.asarray(table["cid"])[order], np.asarray(table["size"])[order]
     flat = table["embedding"].combine_chunks()
-    raw = np.asarray(flat.flatten(), dtype=np.float32).reshape(len(flat), -1)[order]
+    raw = np.asarray(flat.flatten()).reshape(len(flat), -1)[order]
     graph = Graph(ids, _unit(raw.astype(np.float64)))
     first = {c: [table[c][0].as_py()] for c in ("label", "dim", "shard")}
     return pa.table({**first, "n": [len(ids)], "raw": [raw.tobytes()], "sizes": [sizes.astype(np.int64).tobytes()], "graph": [graph.to_bytes()]}, schema=_SHARD)
@@ -154,20 +160,24 @@ _SHARD = pa.schema([("label", pa.int64()), ("dim", pa.int64()), ("shard", pa.int
 SHARD = "label long, dim long, shard long, n long, raw binary, sizes binary, graph binary"
 
 
+FOUND = "cid long, links long, root long, audited long, audited_links long, audited_found long"
+
+
 def _searcher(least: float, beam: int):
     def load(n, raw, sizes, graph):
-        return Graph.from_bytes(graph), np.frombuffer(raw, np.float32).reshape(n, -1).astype(np.float64), np.frombuffer(sizes, np.int64)
+        held = Graph.from_bytes(graph)
+        return held, np.frombuffer(raw, f"f{len(raw) // held.vectors.size}").reshape(n, -1).astype(np.float64), np.frombuffer(sizes, np.int64)
 
-    def one(a, b, same):
+    def one(a, b, same, tally):
         left, x, w = load(*a)
-        bits = _search(x, left if same else (right := load(*b))[0], x if same else right[1], least, beam, same)
+        bits = _search(x, left if same else (right := load(*b))[0], x if same else right[1], least, beam, same, tally)
         if same:
             bits |= _turned(bits, len(x))
             for i in range(len(x)):
                 bits[i, i // 8] &= ~np.uint8(128 >> i % 8)
             return left.ids, _linked(bits, w), _parts(bits, bits, left.ids, None)
         graph, y, v = right
-        back = _search(y, left, x, least, beam)
+        back = _search(y, left, x, least, beam, tally=tally)
         bits |= _turned(back, len(x))
         back = _turned(bits, len(y))
         return np.concatenate([left.ids, graph.ids]), np.concatenate([_linked(bits, v), _linked(back, w)]), _parts(bits, back, left.ids, graph.ids)
@@ -176,24 +186,29 @@ def _searcher(least: float, beam: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 values = [c[row].as_py() for c in batch.columns]
-                ids, links, edges = one(values[1:5], values[5:9], values[0])
+                tally = np.zeros(3, dtype=np.int64)
+                ids, links, edges = one(values[1:5], values[5:9], values[0], tally)
                 roots = dict(edges)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array([roots.get(i, i) for i in ids.tolist()], pa.int64())], names=["cid", "links", "root"])
+                audits = np.zeros((3, len(ids)), dtype=np.int64)  # a task's audits stand in its first row
+                audits[:, 0] = tally
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array([roots.get(i, i) for i in ids.tolist()], pa.int64()), *map(pa.array, audits)], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return search
 
 
-def near_duplicates(vectors: DataFrame, least: float = COSINE, capacity: int = CAPACITY, beam: int = BEAM, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row: links join vectors of one label with a cosine of `least` or more."""
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<float>").alias("embedding"), F.col(f"`{label}`").cast("long").alias("label"))
+KEYS = ["label", "dim", "h1", "h2"]
+
+
+def _searched(vectors: DataFrame, least: float, capacity: int, beam: int, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their keys and whether they are valid, the classes of equal vectors, and what the tasks found."""
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast(kind).alias("embedding"), F.col(f"`{label}`").cast("long").alias("label"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
-    keys = ["label", "dim", "h1", "h2"]
     rows = rows.withColumn("valid", valid).select("*", F.size("embedding").cast("long").alias("dim"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), F.hash("embedding"), "embedding").alias("h2"))
-    usable = rows.where("valid")
-    classes = cut(usable.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding")).withColumn("cid", F.monotonically_increasing_id()))
+    classes = cut(rows.where("valid").groupBy(*KEYS).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding")).withColumn("cid", F.monotonically_increasing_id()))
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / capacity).alias("shards"))
-    dealt = classes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod("h1", F.col("shards")))
+    dealt = classes.join(apart(shards, "label", "dim"), ["label", "dim"]).withColumn("shard", F.pmod("h1", F.col("shards")))
     built = cut(dealt.select("label", "dim", "shard", "cid", "size", "embedding").groupBy("label", "dim", "shard").applyInArrow(_graph_builder, SHARD))
 
     side = lambda s: built.select("label", "dim", *(F.col(c).alias(f"{s}_{c}") for c in ("shard", "n", "raw", "sizes", "graph")))
@@ -201,19 +216,35 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, capacity: int = C
     met = named.withColumnRenamed("shard", "a_shard").join(named.withColumnRenamed("shard", "b_shard"), ["label", "dim"]).where("a_shard <= b_shard")
     pairs = met.join(side("a"), ["label", "dim", "a_shard"]).join(side("b"), ["label", "dim", "b_shard"]).repartition("label", "dim", "a_shard", "b_shard")
     columns = ["n", "raw", "sizes", "graph"]
-    found = cut(mapped(pairs.select((F.col("a_shard") == F.col("b_shard")).alias("same"), *(f"a_{c}" for c in columns), *(F.when(F.col("a_shard") != F.col("b_shard"), F.col(f"b_{c}")).alias(f"b_{c}") for c in columns)), _searcher(least, beam), "cid long, links long, root long"))
+    given = pairs.select((F.col("a_shard") == F.col("b_shard")).alias("same"), *(f"a_{c}" for c in columns), *(F.when(F.col("a_shard") != F.col("b_shard"), F.col(f"b_{c}")).alias(f"b_{c}") for c in columns))
+    return rows, classes, cut(mapped(given, _searcher(least, beam), FOUND))
+
 
+def near_duplicates(vectors: DataFrame, least: float = COSINE, capacity: int = CAPACITY, beam: int = BEAM, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row: links join vectors of one label with a cosine of `least` or more."""
+    rows, classes, found = _searched(vectors, least, capacity, beam, vec_id, embedding, label)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     # Rows that share a vec_id join their classes.
+    usable = rows.where("valid")
     repeated = usable.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").select("vec_id")
-    shared = usable.join(repeated, "vec_id", "left_semi").join(classes.select(*keys, "cid"), keys)
-    same = shared.join(shared.groupBy("vec_id").agg(F.min("cid").alias("v")), "vec_id").select(F.col("cid").alias("u"), "v")
+    shared = usable.join(apart(repeated, "vec_id"), "vec_id", "left_semi").join(classes.select(*KEYS, "cid"), KEYS)
+    same = shared.join(apart(shared.groupBy("vec_id").agg(F.min("cid").alias("v")), "vec_id"), "vec_id").select(F.col("cid").alias("u"), "v")
     labels = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")).union(same)).toDF("cid", "part")
-    parted = classes.select(*keys, "rep", "size", "cid").join(labels, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    parted = classes.select(*KEYS, "rep", "size", "cid").join(labels, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     least_id = parted.groupBy("part").agg(F.min("rep").alias("component"))
-    keyed = parted.join(least_id, "part").join(links, "cid", "left")
-    out = rows.join(keyed.withColumn("valid", F.lit(True)), ["valid", *keys], "left")
+    keyed = parted.join(apart(least_id, "part"), "part").join(links, "cid", "left")
+    # Rows that aren't valid find no class; they are dealt out by their place.
+    place = F.when(F.col("valid"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    out = rows.withColumn("place", place).join(keyed.withColumn("place", F.lit(-1).cast("long")), ["place", *KEYS], "left")
     n_links = F.when(F.col("valid"), F.col("size") - 1 + F.coalesce("links", F.lit(0))).otherwise(0)
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     out = out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def recall(vectors: DataFrame, least: float = COSINE, capacity: int = CAPACITY, beam: int = BEAM, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+    """(label, audited, audited_links, audited_found, recall): what the audits of each label's searches saw; a label without links has no recall."""
+    _, classes, found = _searched(vectors, least, capacity, beam, vec_id, embedding, label)
+    sums = [F.sum(c).alias(c) for c in ("audited", "audited_links", "audited_found")]
+    out = found.join(classes.select("cid", "label"), "cid").groupBy("label").agg(*sums)
+    return out.withColumn("recall", F.col("audited_found") / F.nullif(F.col("audited_links"), F.lit(0).cast("long")))

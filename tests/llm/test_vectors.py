@@ -118,3 +118,21 @@ def test_audit_is_not_drowned_by_one_group():
     x = y + 1e-4
     bits = vectors._search(x, Blinkered(y, np.arange(1000, 1030)), y, 0.98, 32)
     assert all(np.unpackbits(bits[i])[i] for i in range(1000, 1030))
+
+
+def test_doubles_are_judged_in_double_precision(spark):
+    """Two cosines of 0.98 to within single precision, one above it and one below."""
+    angle = np.arccos(0.98)
+    rows = [(1, [1.0, 0.0], 1), (2, [float(np.cos(angle - 1e-9)), float(np.sin(angle - 1e-9))], 1), (3, [1.0, 0.0], 2), (4, [float(np.cos(angle + 1e-9)), float(np.sin(angle + 1e-9))], 2)]
+    out = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_recall_is_reported(spark):
+    rows = corpus(7, 200)
+    df = spark.createDataFrame([(*r, "r", 1) for r in rows], SCHEMA)
+    links = {}
+    for (_, _, label), (_, n, _, _) in zip(sorted(rows), sorted(brute(rows)), strict=True):
+        links[label] = links.get(label, 0) + n
+    for r in vectors.recall(df, capacity=40).collect():
+        assert (r.audited > 0) == (links[r.label] > 0) and r.audited_found <= r.audited_links and r.recall >= 0.99
