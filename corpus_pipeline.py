@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import langid, minhash, packing, substrings
-from quadloom.llm.common import table
+from quadloom.llm.common import apart, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.withColumns({"_key": hashed(["doc_id", "text"]), "_row": hashed(docs.columns)})
     groups = minhash.near_duplicates(rows, words=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
     members = rows.select("doc_id", "_key", "_row").distinct().join(groups, "_key")
+    # The first of each group is joined apart, so that the rows of a large group are split among tasks.
     first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "_row")).alias("first"))
-    gone = members.join(first, "_group").where("_key != first._key OR _row != first._row").select("_key", "_row")
+    gone = members.join(apart(first, "_group"), "_group").where("_key != first._key OR _row != first._row").select("_key", "_row")
     return rows.join(gone, ["_key", "_row"], "left_anti").dropDuplicates(["_key", "_row"]).select(*docs.columns)
 
 

@@ -44,3 +44,8 @@ def test_entry_works_without_that_subpackage(tmp_path):
         target.write_text(p.read_text())
     code = "import __spark_entry__ as e; assert 'affected_tiles' in e.queries() and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_entry_works_without_the_tokenizer_libraries():
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; assert 'affected_tiles' in e.queries() and 'op5_packing' not in e.queries() and 'etag' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
