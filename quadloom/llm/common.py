@@ -39,10 +39,18 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its rows in the checkpoint folder, where they outlive the executors; the files go when the frame is collected as garbage."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
+    """df with its rows in the checkpoint folder, where they outlive the executors; the files go when the frame is collected as garbage.
+
+    A checkpoint keeps its plan's partitioning and its estimate of size, which every join multiplies: after some rounds that is a number of
+    millions of digits. fresh: forget both, for frames that many others are made from, one after the other.
+    """
+    spark = with_checkpoints(df.sparkSession)
+    held = df.checkpoint()
+    if not fresh:
+        return held
+    rows = held._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, held._jdf.schema(), False), spark)
 
 
 def apart(df: DataFrame, *keys: str) -> DataFrame:

@@ -34,10 +34,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, label) of every node that has an edge; label is the smallest node of its component. Null ends are ignored."""
-    edges = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), fresh=True)
     before = _state(edges)
     while before[0]:
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(_star(edges, True), False), fresh=True)
         after = _state(edges)
         if after == before:
             break

@@ -206,7 +206,7 @@ def _keys(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = W.partitionBy("node")
     spare = F.count("*").over(own) - F.ceil(F.col("n") * percent / 100) + 1
     place = F.row_number().over(own.orderBy("held", "shingle"))
-    keys = cut(shared.select("node", "shingle", spare.alias("spare"), place.alias("place")).where("place <= spare").select(F.col("shingle").alias("key"), "node"))
+    keys = cut(shared.select("node", "shingle", spare.alias("spare"), place.alias("place")).where("place <= spare").select(F.col("shingle").alias("key"), "node"), fresh=True)
     held = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
     return keys.join(apart(held.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), "key")
 
@@ -218,12 +218,12 @@ def _crowds(nodes: DataFrame, keys: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     heads = apart(keys.groupBy("key").agg(F.min("node").alias("head")), "key")
     clusters = components(keys.join(heads, "key").select(F.col("node").alias("u"), F.col("head").alias("v"))).toDF("node", "cluster")
-    whole = cut(nodes.join(clusters, "node"))
+    whole = cut(nodes.join(clusters, "node"), fresh=True)
     large = whole.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where((F.col("c") > crowd) | (F.col("s") > CROWD_SHINGLES)).select("cluster")
     unit = lambda df, kind, id_: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), "rep", "k1", "n", "label")
     small = unit(whole.join(apart(large, "cluster"), "cluster", "left_anti"), 0, "cluster")
     split = unit(whole.join(apart(large, "cluster"), "cluster", "left_semi").join(keys, "node"), 1, "key")
-    units = cut(small.union(split))
+    units = cut(small.union(split), fresh=True)
     size = F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("n") / CROWD_SHINGLES))
     blocks = units.groupBy("kind", "id").agg(size.alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     dealt = units.join(apart(blocks.select("kind", "id", "blocks"), "id"), ["kind", "id"]).withColumn("block", F.pmod(F.xxhash64("rep", "k1"), F.col("blocks")))
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     banded = own.select(F.col("rep"), F.col("k1"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     spread = F.xxhash64("rep", "bucket")
     centres = banded.groupBy("bucket").agg(F.count("*").alias("held"), F.min(F.struct(spread.alias("o"), "rep", "k1", "n")).alias("c")).where("held > 1").select("bucket", F.col("c.rep").alias("y"), F.col("c.k1").alias("ky"), F.col("c.n").alias("ny"))
-    members = cut(banded.join(apart(centres, "bucket"), "bucket"))  # only buckets with two classes at least
+    members = cut(banded.join(apart(centres, "bucket"), "bucket"), fresh=True)  # only buckets with two classes at least
 
     needed = members.select(F.col("rep").alias("doc_id"), "k1").distinct()
     texts = docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -279,10 +279,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     # Classes of buckets that still hold several components, if enough of their shingles are held by other components.
     labelled = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "k1", "n", F.coalesce("label", "rep").alias("label"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
-    mixed = cut(labelled.join(apart(several, "bucket"), "bucket", "left_semi").select(F.xxhash64("rep", "k1").alias("node"), "rep", "k1", "n", "label").distinct())
+    mixed = cut(labelled.join(apart(several, "bucket"), "bucket", "left_semi").select(F.xxhash64("rep", "k1").alias("node"), "rep", "k1", "n", "label").distinct(), fresh=True)
     spread = _spread(mixed, sets)
     bounds = spread.join(_across(spread), "shingle").groupBy("node").agg(F.count("*").alias("c"))
-    nodes = cut(mixed.join(bounds, "node").where(F.col("c") * 100 >= F.col("n") * percent).drop("c"))
+    nodes = cut(mixed.join(bounds, "node").where(F.col("c") * 100 >= F.col("n") * percent).drop("c"), fresh=True)
     late = _crossed(nodes, sets, percent)
     merged = components(late, "a", "b")
 
