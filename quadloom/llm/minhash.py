@@ -10,9 +10,9 @@ need no more comparison among each other. What is left are classes of one bucket
 components needs shingles that both hold, so those that no class of another component holds are counted first: too many
 of them and a class has no link beyond its component, which rules out a copy with many edits of its own. The others meet by prefixes.
 Shingles are ordered from rare to common; two sets that are alike enough share one among the first of each (so many as may be
-missing, and one), so only classes that share such a key are compared. Classes that keys connect form a cluster. A cluster of
-CROWD classes at most is compared in one task, by counting all its intersections at once; in a larger one the classes of each key are, in blocks
-where these are many (keys with the same classes count once). A task returns one link for each pair of components. Every pair
+missing, and one), so only classes that share such a key need be compared. Classes that keys connect form a cluster, which is compared as a whole or key by
+key (keys with the same classes count once), whichever takes fewer copies of its sets; in blocks of CROWD classes, each two of which
+meet in one task that counts all intersections at once. It returns one link for each pair of components. Every pair
 of a bucket is thus compared, connected already or shown to be too unlike, and no pairs within a group are listed.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept. A text with fewer words
@@ -199,7 +199,7 @@ def _across(spread: DataFrame) -> DataFrame:
 
 
 def _keys(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node) of the shingles by which nodes (node, rep, k1, n, label) must meet to be linked across labels; keys with the same nodes count once."""
+    """(key, node, head, held) of the shingles by which nodes (node, rep, k1, n, label) must meet to be linked across labels, with a key's first node and number of nodes; keys with the same nodes count once."""
     spread = _spread(nodes, sets)
     shared = spread.join(_across(spread), "shingle").select("node", "shingle", "held").join(nodes.select("node", "n"), "node")
     # Shingles that aren't shared come first in the order: of the prefix, they take their number away.
@@ -207,25 +207,26 @@ def _keys(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spare = F.count("*").over(own) - F.ceil(F.col("n") * percent / 100) + 1
     place = F.row_number().over(own.orderBy("held", "shingle"))
     keys = cut(shared.select("node", "shingle", spare.alias("spare"), place.alias("place")).where("place <= spare").select(F.col("shingle").alias("key"), "node"), fresh=True)
-    held = keys.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
-    return keys.join(apart(held.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), "key")
+    held = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("held > 1")
+    return keys.join(apart(held.groupBy("held", "head", "x", "y").agg(F.min("key").alias("key")).select("key", "head", "held"), "key"), "key")
 
 
 def _crowds(nodes: DataFrame, keys: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(kind, id, p, q, block, label, rep, k1): the pairs of blocks to compare; a block with itself where p = q.
 
-    A unit (kind, id) is a cluster of nodes that keys connect, or a key if its cluster is larger than a crowd.
+    A unit (kind, id) is a cluster of nodes that keys connect, or a key where comparing by keys takes fewer copies of the cluster's sets.
     """
-    heads = apart(keys.groupBy("key").agg(F.min("node").alias("head")), "key")
-    clusters = components(keys.join(heads, "key").select(F.col("node").alias("u"), F.col("head").alias("v"))).toDF("node", "cluster")
+    clusters = components(keys.select(F.col("node").alias("u"), F.col("head").alias("v"))).toDF("node", "cluster")
     whole = cut(nodes.join(clusters, "node"), fresh=True)
-    large = whole.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where((F.col("c") > crowd) | (F.col("s") > CROWD_SHINGLES)).select("cluster")
+    blocks_of = lambda count, total: F.greatest(F.ceil(count / crowd), F.ceil(total / CROWD_SHINGLES))
+    copies = whole.groupBy("cluster").agg((F.count("*") * blocks_of(F.count("*"), F.sum("n"))).alias("whole"))
+    own = keys.where("node = head").select("node", "held").join(whole.select("node", "cluster"), "node")
+    cheaper = own.groupBy("cluster").agg(F.sum(F.col("held") * F.ceil(F.col("held") / crowd)).alias("keyed")).join(copies, "cluster").where("keyed < whole").select("cluster")
     unit = lambda df, kind, id_: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), "rep", "k1", "n", "label")
-    small = unit(whole.join(apart(large, "cluster"), "cluster", "left_anti"), 0, "cluster")
-    split = unit(whole.join(apart(large, "cluster"), "cluster", "left_semi").join(keys, "node"), 1, "key")
-    units = cut(small.union(split), fresh=True)
-    size = F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("n") / CROWD_SHINGLES))
-    blocks = units.groupBy("kind", "id").agg(size.alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    together = unit(whole.join(apart(cheaper, "cluster"), "cluster", "left_anti"), 0, "cluster")
+    split = unit(whole.join(apart(cheaper, "cluster"), "cluster", "left_semi").join(keys.select("key", "node"), "node"), 1, "key")
+    units = cut(together.union(split), fresh=True)
+    blocks = units.groupBy("kind", "id").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     dealt = units.join(apart(blocks.select("kind", "id", "blocks"), "id"), ["kind", "id"]).withColumn("block", F.pmod(F.xxhash64("rep", "k1"), F.col("blocks")))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     return met.select("kind", "id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "label", "rep", "k1")
