@@ -9,7 +9,6 @@ from ..functions import geometry as G
 from ..functions import tiles as T
 
 
-
 def _range(low: Column, high: Column) -> Column:
     """The numbers from low to high, none if low is larger or null."""
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
@@ -50,6 +49,11 @@ def tiles_of_features(features: DataFrame, min_zoom: int | Column, max_zoom: int
     they miss a tile or lie in it, as a point's always do; the geometry is looked at for the rest.
     """
     candidates = cover(features, bounds, min_zoom, max_zoom, widened=True)
+    return _meeting(candidates, geometry, bounds)
+
+
+def _meeting(candidates: DataFrame, geometry: str, bounds: str) -> DataFrame:
+    """The candidates whose geometry meets the closed tile z, x, y."""
     tile = T.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
     b = F.col(bounds)
     near = (b["min_lon"] <= tile["max_lon"]) & (b["max_lon"] >= tile["min_lon"]) & (b["min_lat"] <= tile["max_lat"]) & (b["max_lat"] >= tile["min_lat"])
@@ -57,8 +61,27 @@ def tiles_of_features(features: DataFrame, min_zoom: int | Column, max_zoom: int
     return candidates.where(near & (inside | G.intersects_box(F.col(geometry), tile)))
 
 
+#: Tiles of zooms beyond this one find their features by their ancestors at it; tables of tiles to broadcast have so many rows at most.
+COARSE, BROADCAST_TILES = 7, 20_000
+
+
+def features_of_tiles(features: DataFrame, tiles: DataFrame, min_zoom: int, max_zoom: int, geometry: str = "geometry", bounds: str = "bbox") -> DataFrame:
+    """The spatial join of features with given tiles (z, x, y, each once): features with z, x, y, as tiles_of_features has them for those tiles.
+
+    Bounds are covered at the coarse zooms alone, and what is tested exactly is a feature and a given tile below one of its coarse
+    tiles. So the work beyond coarse zooms follows the tiles that are given, however deep they lie. The tiles are counted; if few they are broadcast.
+    """
+    top = min(max_zoom, max(min_zoom, COARSE))
+    up = F.greatest(F.col("z") - top, F.lit(0))
+    wanted = tiles.select(F.col("z").cast("int").alias("z"), "x", "y").where(F.col("z").between(min_zoom, max_zoom))
+    keyed = wanted.select((F.col("z") - up).cast("int").alias("_z"), F.expr(f"shiftright(x, greatest(z - {top}, 0))").alias("_x"), F.expr(f"shiftright(y, greatest(z - {top}, 0))").alias("_y"), "z", "x", "y")
+    keyed = F.broadcast(keyed) if wanted.count() <= BROADCAST_TILES else keyed
+    covered = cover(features, bounds, min_zoom, top, widened=True).withColumnsRenamed({"z": "_z", "x": "_x", "y": "_y"})
+    return _meeting(covered.join(keyed, ["_z", "_x", "_y"]).drop("_z", "_x", "_y"), geometry, bounds)
+
+
 def features_in_bounds(features: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> DataFrame:
-    """Features that meet a box; their bounds' comparison is simple enough to be pushed down to a file's statistics."""
+    """Features that meet a box, by their bounds first. Where bounds are stored as columns, files are skipped by them."""
     box = F.struct(F.lit(min_lon).alias("min_lon"), F.lit(min_lat).alias("min_lat"), F.lit(max_lon).alias("max_lon"), F.lit(max_lat).alias("max_lat"))
     b = F.col("bbox")
     near = (b["min_lon"] <= max_lon) & (b["max_lon"] >= min_lon) & (b["min_lat"] <= max_lat) & (b["max_lat"] >= min_lat)

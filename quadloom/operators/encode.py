@@ -6,6 +6,7 @@ sorted through a writer that holds the tile it writes, nothing else.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -67,15 +68,32 @@ def prepared(placed: DataFrame, layers: Iterable[Layer] = (), geometry: str = "g
     return out.where(F.size("commands") > 0)
 
 
-def _writer(extent: int):
+#: The number of layers that a tile has which couldn't be written; its data is null.
+FAILED = -1
+
+
+def _writer(extent: int, skip_failed: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("z", "x", "y", "tile_data", "n_features", "n_layers")
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32())
         tile: tuple | None = None
         layers: list[mvt.LayerWriter] = []
+        failed = False
 
         def finished() -> tuple:
-            return (*tile, mvt.compressed(mvt.tile_message(layers)), sum(len(w.features) for w in layers), len(layers))
+            if not failed:
+                try:
+                    return (*tile, mvt.compressed(mvt.tile_message(layers)), sum(len(w.features) for w in layers), len(layers))
+                except (ValueError, OverflowError) as error:
+                    give_up(error)
+            return (*tile, None, 0, FAILED)
+
+        def give_up(error: Exception) -> None:
+            nonlocal failed
+            if not skip_failed:
+                raise error
+            failed = True
+            print(f"tile {tile}: {error}", file=sys.stderr)
 
         for batch in batches:
             done = []
@@ -83,10 +101,13 @@ def _writer(extent: int):
                 if tile != (z, x, y):
                     if tile is not None:
                         done.append(finished())
-                    tile, layers = (z, x, y), []
+                    tile, layers, failed = (z, x, y), [], False
                 if not layers or layers[-1].name != layer:
                     layers.append(mvt.LayerWriter(layer, extent))
-                layers[-1].add_coded(number, kind, commands, props)
+                try:
+                    layers[-1].add_coded(number, kind, commands, props)
+                except (ValueError, OverflowError) as error:
+                    give_up(error)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
         if tile is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(finished(), kinds, strict=True)], names=names)
@@ -94,10 +115,13 @@ def _writer(extent: int):
     return write
 
 
-def encode(placed: DataFrame, layers: Iterable[Layer] = (), geometry: str = "geometry", extent: int = T.EXTENT, mercator: bool = False, restart: bool = False) -> DataFrame:
-    """Tiles of features with tiles: one shuffle by tile, sorted by layer and id, so that equal features give equal bytes."""
+def encode(placed: DataFrame, layers: Iterable[Layer] = (), geometry: str = "geometry", extent: int = T.EXTENT, mercator: bool = False, restart: bool = False, skip_failed: bool = False) -> DataFrame:
+    """Tiles of features with tiles: one shuffle by tile, sorted by layer and id, so that equal features give equal bytes.
+
+    skip_failed: a tile that can't be written has null data and FAILED as its number of layers; otherwise it fails the job.
+    """
     rows = prepared(placed, layers, geometry, extent, mercator, restart).withColumn("props", mvt.coded_properties(F.col("props")))
-    return rows.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "layer", "id").mapInArrow(_writer(extent), TILES)
+    return rows.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "layer", "id").mapInArrow(_writer(extent, skip_failed), TILES)
 
 
 def decoded(tiles: DataFrame) -> DataFrame:
@@ -114,3 +138,27 @@ def decoded(tiles: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["z", "x", "y", "layer", "id", "class", "commands", "properties"])
 
     return tiles.select("z", "x", "y", "tile_data").where("tile_data IS NOT NULL").mapInArrow(read, "z int, x bigint, y bigint, layer string, id bigint, class int, commands array<bigint>, properties string")
+
+
+PROPERTIES = "z int, x bigint, y bigint, layer string, id bigint, key string, type string, text string, number double"
+
+
+def decoded_properties(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, layer, id, key, type, text, number) of every property in tile data: texts and truth values as text, numbers as doubles."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64())
+        names = [x.split()[0] for x in PROPERTIES.split(", ")]
+        types = {str: "string", bool: "bool", int: "int", float: "double"}
+        for batch in batches:
+            for place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = []
+                for layer in mvt.decode_tile(place[3]):
+                    for f in layer["features"]:
+                        for key, value in f["properties"].items():
+                            numeric = type(value) in (int, float)
+                            text = None if numeric else str(value).lower() if type(value) is bool else value
+                            rows.append((*place[:3], layer["name"], f["id"], key, types[type(value)], text, float(value) if numeric else None))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return tiles.select("z", "x", "y", "tile_data").where("tile_data IS NOT NULL").mapInArrow(read, PROPERTIES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_bytes
 from .cover import cover
+from .encode import FAILED
 
 KEY = ["z", "x", "y"]
 
@@ -77,11 +78,14 @@ def route(changes: DataFrame, sources: DataFrame) -> DataFrame:
 def affected_tiles(routed: DataFrame, features: DataFrame) -> DataFrame:
     """(source, z, x, y) that routed changes (source, layer, id, old_bounds, min_zoom, max_zoom) touch: now or before, each once.
 
-    The changes of a batch are few, the features many: both are shuffled by key only if the changes are too many to broadcast.
+    The changes of a batch are few, the features many: features are cut down to those that changes name by their keys alone, before their
+    bounds are made, and repeated changes of a feature count once.
     """
-    current = features.select("layer", "id", F.col("bbox").alias("now"))
-    joined = routed.join(current, ["layer", "id"], "left")
-    places = joined.select("source", "min_zoom", "max_zoom", F.explode(F.filter(F.array("now", F.col("old_bounds").cast(current.schema["now"].dataType)), lambda b: b.isNotNull())).alias("bounds")).distinct()
+    named = routed.select("source", "layer", "id", "min_zoom", "max_zoom").distinct()
+    current = features.select("layer", "id", F.col("bbox").alias("now")).join(named.select("layer", "id").distinct(), ["layer", "id"], "left_semi")
+    now = named.join(current, ["layer", "id"]).select("source", "min_zoom", "max_zoom", F.col("now").alias("bounds"))
+    before = routed.select("source", "min_zoom", "max_zoom", F.col("old_bounds").cast(current.schema["now"].dataType).alias("bounds"))
+    places = now.union(before).where("bounds IS NOT NULL").distinct()
     return cover(places, "bounds", F.col("min_zoom"), F.col("max_zoom")).select("source", "z", "x", "y").distinct()
 
 
@@ -92,5 +96,6 @@ def merge(tiles: DataFrame, affected: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def changes_of(affected: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(z, x, y, tile_data) of affected tiles, null where the tile is to be deleted."""
-    return affected.select(*KEY).join(fresh.select(*KEY, "tile_data"), KEY, "left")
+    """(z, x, y, tile_data) of affected tiles, null where the tile is to be deleted. Tiles that couldn't be made are left out, so they stay as they are."""
+    joined = affected.select(*KEY).join(fresh.select(*KEY, "tile_data", F.col("n_layers").alias("_layers")), KEY, "left")
+    return joined.where(F.col("_layers").isNull() | (F.col("_layers") != FAILED)).drop("_layers")

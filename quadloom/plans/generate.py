@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, Layer, Source
+from ..functions import shapes
 from ..functions.text import base_layer
 from ..operators import encode as E
 from ..operators import tilesets
-from ..operators.cover import tiles_of_features
+from ..operators.cover import features_of_tiles, tiles_of_features
 from ..sources import layers as L
 from ..sources import mbtiles
 
@@ -59,9 +61,19 @@ def generate(source: Source, tables: Tables, mercator: bool = False, restart: bo
 
 
 def regenerate(source: Source, tables: Tables, affected: DataFrame) -> DataFrame:
-    """The tiles of generate() among affected (z, x, y), from the features that touch them alone."""
-    placed = placed_features(source_features(source, tables), source)
-    return E.encode(placed.join(affected.select("z", "x", "y"), ["z", "x", "y"], "left_semi"), source.layers, "drawn")
+    """The tiles of generate() among affected (z, x, y, each once), from the features that touch them alone; those that can't be written have null data."""
+    placed = features_of_tiles(source_features(source, tables), affected, source.min_zoom, source.max_zoom, "parent")
+    drawn = F.col("geometry")
+    if any(one.simplify_tolerance for one in source.layers):
+        drawn = shapes.simplify(drawn, E.tolerance_at(F.col("layer"), F.col("z"), source.layers))
+    return E.encode(placed.withColumn("drawn", drawn), source.layers, "drawn", skip_failed=True)
+
+
+def bounds_of(features: DataFrame) -> tuple[float, float, float, float] | None:
+    """The bounds of all features; None if there are none."""
+    b = F.col("bbox")
+    row = features.agg(F.min(b["min_lon"]), F.min(b["min_lat"]), F.max(b["max_lon"]), F.max(b["max_lat"])).first()
+    return None if row[0] is None else tuple(row)
 
 
 def shown_layers(spark: SparkSession, config: Config) -> DataFrame:
@@ -70,8 +82,16 @@ def shown_layers(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame(rows, "source string, layer string, shown string, min_zoom int, max_zoom int")
 
 
-def update(spark: SparkSession, config: Config, tables: Tables, changes: DataFrame, previous: DataFrame | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """For each source (changed tiles with null data where they are to be deleted, update_complete event) of changes (layer, id, old_bounds).
+class Update(NamedTuple):
+    """What changes do to a source: tiles with null data where they are to be deleted, and the update_complete event. Call release() when both are used."""
+
+    changed: DataFrame
+    event: DataFrame
+    release: Callable[[], object]
+
+
+def update(spark: SparkSession, config: Config, tables: Tables, changes: DataFrame, previous: DataFrame | None = None) -> dict[str, Update]:
+    """An update for each source of changes (layer, id, old_bounds).
 
     previous: features as they were, for changes that bring no old bounds.
     """
@@ -89,9 +109,9 @@ def update(spark: SparkSession, config: Config, tables: Tables, changes: DataFra
         names = own.agg(F.array_sort(F.collect_set(base_layer(F.col("layer")))).alias("layers_affected"))
         zooms = affected.agg(F.lit("update_complete").alias("event"), F.lit(source.name).alias("source"), F.count("*").alias("tiles_updated"), F.array_sort(F.collect_set("z")).alias("affected_zooms"))
         event = zooms.join(names.withColumn("source", F.lit(source.name)), "source").withColumn("max_zoom", F.lit(source.max_zoom)).where("tiles_updated > 0")
-        out[source.name] = (changed, event)
+        out[source.name] = Update(changed, event, affected.unpersist)
     return out
 
 
-def write_mbtiles(source: Source, tiles: DataFrame, path: str) -> int:
-    return mbtiles.write_tiles(tiles, path, mbtiles.default_metadata(source.name, source.min_zoom, source.max_zoom))
+def write_mbtiles(source: Source, tiles: DataFrame, path: str, bounds: tuple[float, float, float, float] | None = None) -> int:
+    return mbtiles.write_tiles(tiles, path, mbtiles.default_metadata(source.name, source.min_zoom, source.max_zoom, bounds))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.spatial import VIEWS
-from .queries import COOLDOWN, TOLERANCE
+from .queries import COOLDOWN, NET_TOLERANCE, TOLERANCE
 
 
 def _with(*names: str) -> str:
@@ -95,6 +95,7 @@ def _text_tiles(where: str) -> str:
 
 _A = f"a AS {_text_tiles("ts < TIMESTAMP '2024-01-16 00:00:00'")}"
 _B = f"b AS {_text_tiles("ts >= TIMESTAMP '2024-01-04 00:00:00'")}"
+_ANY = f"a AS {_text_tiles('TRUE')}"
 _COMPARED = f"""WITH {_with("geo_points")}, {_A}, {_B}, c AS (SELECT coalesce(a.z, b.z) AS z,
   CASE WHEN a.z IS NULL THEN 'added' WHEN b.z IS NULL THEN 'removed' WHEN sha256(a.tile_data) = sha256(b.tile_data) THEN 'unchanged' ELSE 'changed' END AS state
   FROM a FULL OUTER JOIN b ON a.z = b.z AND a.x = b.x AND a.y = b.y)"""
@@ -131,6 +132,14 @@ windowed AS (SELECT t.*, (SELECT max(w) FROM opened o WHERE o.source = t.source
 _PADS = ["".join(f"{b ^ pad:02x}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
 _R9 = ", ".join(f"round({c}, 9) AS {c}" for c in _BOUNDS.split(", "))
 
+#: The net's tiles: lines have their middle vertex where it lies farther from the chord than the zoom's tolerance.
+_COUNT_LINES = f"""
+WITH {_with("geo_lines")}, t AS (SELECT * FROM ({_tiled(_LINE_ROWS, 2, 8)}) WHERE {_LINE_MEETS}),
+p AS (SELECT id, z, x, y, x1 - x0 AS px, y1 - y0 AS py, x2 - x0 AS dx, y2 - y0 AS dy FROM t),
+q AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest((px * dx + py * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS f FROM p),
+v AS (SELECT id, z, x, y, CASE WHEN sqrt(pow(px - f * dx, 2) + pow(py - f * dy, 2)) > {NET_TOLERANCE!r} * pow(2, 18 - z) THEN 3 ELSE 2 END AS n FROM q)
+SELECT CAST(z AS INTEGER) AS z, x, y, count(*) AS features, CAST(sum(n) AS BIGINT) AS vertices, CAST(sum(id) AS BIGINT) AS sum_id FROM v GROUP BY z, x, y"""
+
 ORACLES: dict[str, str] = {
     "layer_scan_filter": f"WITH {_with('geo_boxes')} SELECT id, layer, name, CAST(size AS BIGINT) AS size, {_R9} FROM geo_boxes WHERE min_lon IS NOT NULL AND size > 10 AND kind <> 'none'",
     "tile_xy_points": f"WITH {_with('geo_points')} SELECT id, CAST(z AS INTEGER) AS z, x, y FROM ({_XY.format(14)})",
@@ -165,9 +174,9 @@ SELECT id, CASE WHEN sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) > {TOLERANC
     "route_changes_to_source": f"WITH {_PARSED}, {_ROUTED} SELECT source, layer, count(*) AS changes, count(DISTINCT id) AS features FROM routed GROUP BY source, layer",
     "affected_tiles": f"WITH {_AFFECTED} SELECT source, z, x, y FROM affected",
     "incremental_merge": f"WITH {_AFFECTED}, {_A}, {_B}, k AS (SELECT z, x, y FROM affected WHERE source = 'base') SELECT a.* FROM a ANTI JOIN k USING (z, x, y) UNION ALL SELECT b.* FROM b SEMI JOIN k USING (z, x, y)",
-    "tileset_inspect": f"WITH {_with('geo_points')}, {_A}, i AS (SELECT count(*) AS tiles, CAST(coalesce(sum(strlen(tile_data)), 0) AS BIGINT) AS bytes, CAST(floor(coalesce(avg(strlen(tile_data)), 0)) AS BIGINT) AS average_bytes, min(z) AS min_zoom, max(z) AS max_zoom FROM a) SELECT *, {_bytes('bytes')} AS size, {_bytes('average_bytes')} AS average_size FROM i",
-    "tile_count_by_zoom": f"WITH {_with('geo_points')}, {_A} SELECT z, count(*) AS tiles FROM a GROUP BY z",
-    "tile_size_stats": f"WITH {_with('geo_points')}, {_A} SELECT z, CAST(sum(strlen(tile_data)) AS BIGINT) AS bytes, round(avg(strlen(tile_data)), 6) AS average FROM a GROUP BY z",
+    "tileset_inspect": f"WITH {_with('geo_points')}, {_ANY}, i AS (SELECT count(*) AS tiles, CAST(coalesce(sum(strlen(tile_data)), 0) AS BIGINT) AS bytes, CAST(floor(coalesce(avg(strlen(tile_data)), 0)) AS BIGINT) AS average_bytes, min(z) AS min_zoom, max(z) AS max_zoom FROM a) SELECT *, {_bytes('bytes')} AS size, {_bytes('average_bytes')} AS average_size FROM i",
+    "tile_count_by_zoom": f"WITH {_with('geo_points')}, {_ANY} SELECT z, count(*) AS tiles FROM a GROUP BY z",
+    "tile_size_stats": f"WITH {_with('geo_points')}, {_ANY} SELECT z, CAST(sum(strlen(tile_data)) AS BIGINT) AS bytes, round(avg(strlen(tile_data)), 6) AS average FROM a GROUP BY z",
     "tileset_diff_summary": f"{_COMPARED} SELECT count(*) FILTER (WHERE state <> 'added') AS tiles_a, count(*) FILTER (WHERE state <> 'removed') AS tiles_b, {_COUNTS}, count(*) FILTER (WHERE state = 'unchanged') AS unchanged FROM c",
     "tileset_diff_by_zoom": f"{_COMPARED} SELECT z, {_COUNTS} FROM c GROUP BY z HAVING count(*) FILTER (WHERE state <> 'unchanged') > 0",
     "tiles_only_in_a": f"WITH {_with('geo_points')}, {_A}, {_B} SELECT z, x, y FROM a EXCEPT SELECT z, x, y FROM b",
@@ -176,7 +185,7 @@ SELECT id, CASE WHEN sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) > {TOLERANC
 WITH a AS (SELECT CAST(s_nationkey AS VARCHAR) AS name, CAST(count(*) AS VARCHAR) AS value FROM supplier GROUP BY 1), b AS (SELECT CAST(c_nationkey AS VARCHAR) AS name, CAST(count(*) AS VARCHAR) AS value FROM customer GROUP BY 1)
 SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'changed' END AS state, a.value AS old, b.value AS new
 FROM a FULL OUTER JOIN b ON a.name = b.name WHERE a.value IS DISTINCT FROM b.value""",
-    "etag": f"""WITH {_with("geo_points")}, {_A} SELECT z, x, y, '"' || substr(sha256(tile_data), 1, 16) || '"' AS etag FROM a""",
+    "etag": f"""WITH {_with("geo_points")}, {_ANY} SELECT z, x, y, '"' || substr(sha256(tile_data), 1, 16) || '"' AS etag FROM a""",
     "format_bytes": f"WITH b AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * ([1, 64, 16384, 4194304])[o_orderkey % 4 + 1] AS bytes FROM orders) SELECT o_orderkey, bytes, {_bytes('bytes')} AS size FROM b",
     "merge_events": f"WITH {_EVENTS}, d AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM e) {_merged('d', 'source, day')}",
     "cooldown_windows": f"WITH RECURSIVE {_WINDOWS} SELECT source, window_start, count(*) AS events FROM windowed GROUP BY source, window_start",

@@ -30,7 +30,8 @@ BASE = Source("base", 0, 6, (
     replace(spatial.LAYERS["points"], property_rules=(PropertyRule(3, ("value", "user_id")), PropertyRule(5, ("value",)))),
     replace(spatial.LAYERS["boxes"], property_rules=(PropertyRule(4, ("name",)),)),
 ))
-NET = Source("net", 2, 8, (spatial.LAYERS["lines"],))
+NET_TOLERANCE = 0.000002
+NET = Source("net", 2, 8, (replace(spatial.LAYERS["lines"], simplify_tolerance=NET_TOLERANCE, property_rules=(PropertyRule(5, ("status",)),)),))
 CONFIG = Config((BASE, NET))
 TOLERANCE = 0.00001
 
@@ -177,7 +178,8 @@ def encode_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines' commands as they are read back from encoded tiles."""
-    read = E.decoded(P.generate(replace(NET, min_zoom=7, max_zoom=7), _tables(spark, sf_dir)))
+    plain = Source("plain", 7, 7, (spatial.LAYERS["lines"],))
+    read = E.decoded(P.generate(plain, _tables(spark, sf_dir)))
     return read.select("id", "z", "x", "y", _numbers(F.col("commands")).alias("commands"))
 
 
@@ -230,16 +232,20 @@ def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge(_tileset_a(spark, sf_dir), affected, fresh).select(F.col("z").cast("int").alias("z"), "x", "y", "tile_data")
 
 
+def _tileset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_tiles(_view(spark, sf_dir, "geo_points"))
+
+
 def tileset_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.inspect(_tileset_a(spark, sf_dir))
+    return S.inspect(_tileset(spark, sf_dir))
 
 
 def tile_count_by_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.count_by_zoom(_tileset_a(spark, sf_dir)).select(F.col("z").cast("int").alias("z"), "tiles")
+    return S.count_by_zoom(_tileset(spark, sf_dir)).select(F.col("z").cast("int").alias("z"), "tiles")
 
 
 def tile_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.size_stats(_tileset_a(spark, sf_dir)).select(F.col("z").cast("int").alias("z"), "bytes", F.round("average", 6).alias("average"))
+    return S.size_stats(_tileset(spark, sf_dir)).select(F.col("z").cast("int").alias("z"), "bytes", F.round("average", 6).alias("average"))
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +275,7 @@ def metadata_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def etag_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tileset_a(spark, sf_dir).select(F.col("z").cast("int").alias("z"), "x", "y", etag(F.col("tile_data")).alias("etag"))
+    return _tileset(spark, sf_dir).select(F.col("z").cast("int").alias("z"), "x", "y", etag(F.col("tile_data")).alias("etag"))
 
 
 def format_bytes_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ from pathlib import Path
 import pytest
 from oracle import assert_same
 
-from quadloom.plans.oracles import ORACLES
-from quadloom.plans.queries import QUERIES
+from quadloom.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
