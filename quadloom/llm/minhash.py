@@ -8,12 +8,11 @@ Which candidates are compared: documents with equal sets are one class. In each
 compared with one centre, picked by a hash, so a bucket of n classes yields n pairs. Classes that these links connect
 need no more comparison among each other. What is left are classes of one bucket in different components. A link between
 components needs shingles that both hold, so those that no class of another component holds are counted first: too many
-of them and a class has no link beyond its component, which rules out a copy with many edits of its own. The others meet by prefixes.
-Shingles are ordered from rare to common; two sets that are alike enough share one among the first of each (so many as may be
-missing, and one), so only classes that share such a key need be compared. Classes that keys connect form a cluster, which is compared as a whole or key by
-key (keys with the same classes count once), whichever takes fewer copies of its sets; in blocks of CROWD classes, each two of which
-meet in one task that counts all intersections at once. It returns one link for each pair of components. Every pair
-of a bucket is thus compared, connected already or shown to be too unlike, and no pairs within a group are listed.
+of them and a class has no link beyond its component, which rules out a copy with many edits of its own. The others form
+the clusters that their buckets connect. A cluster is compared as a whole or bucket by bucket (buckets with the same classes count once),
+whichever takes fewer copies of its sets, so a chain of buckets costs no more than its buckets do; in blocks of CROWD classes (fewer if their
+sets are large), each two of which meet in one task that counts all intersections at once and returns one link for each pair of
+components. Every pair of a bucket is thus compared, connected already or shown to be too unlike, and no pairs within a group are listed.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are kept. A text with fewer words
 than a shingle has its whole word sequence as its only shingle. Rows that share a doc_id are one document, linked to all
@@ -28,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHashes, apart, cut, joined_hash, mapped, mix64, run_hashes, slices, texts_of, word_hashes
@@ -198,17 +196,15 @@ def _across(spread: DataFrame) -> DataFrame:
     return apart(found.where("least < most").select("shingle", "held"), "shingle")
 
 
-def _keys(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, head, held) of the shingles by which nodes (node, rep, k1, n, label) must meet to be linked across labels, with a key's first node and number of nodes; keys with the same nodes count once."""
-    spread = _spread(nodes, sets)
-    shared = spread.join(_across(spread), "shingle").select("node", "shingle", "held").join(nodes.select("node", "n"), "node")
-    # Shingles that aren't shared come first in the order: of the prefix, they take their number away.
-    own = W.partitionBy("node")
-    spare = F.count("*").over(own) - F.ceil(F.col("n") * percent / 100) + 1
-    place = F.row_number().over(own.orderBy("held", "shingle"))
-    keys = cut(shared.select("node", "shingle", spare.alias("spare"), place.alias("place")).where("place <= spare").select(F.col("shingle").alias("key"), "node"), fresh=True)
-    held = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("held > 1")
-    return keys.join(apart(held.groupBy("held", "head", "x", "y").agg(F.min("key").alias("key")).select("key", "head", "held"), "key"), "key")
+def _keys(rows: DataFrame) -> DataFrame:
+    """(key, node, head, held) of the buckets of rows (bucket, node, label) that hold several labels, with their first node and number of nodes.
+
+    Buckets with the same nodes count once.
+    """
+    xor = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    held = rows.groupBy("bucket").agg(F.count("*").alias("held"), F.min("node").alias("head"), *xor, F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    once = held.groupBy("held", "head", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "head", "held")
+    return cut(rows.join(apart(once, "bucket"), "bucket").select(F.col("bucket").alias("key"), "node", "head", "held"), fresh=True)
 
 
 def _crowds(nodes: DataFrame, keys: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -232,9 +228,9 @@ def _crowds(nodes: DataFrame, keys: DataFrame, crowd: int = CROWD) -> DataFrame:
     return met.select("kind", "id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "label", "rep", "k1")
 
 
-def _crossed(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the labels of nodes (node, rep, k1, n, label)."""
-    met = _crowds(nodes, _keys(nodes, sets, percent)).withColumnRenamed("rep", "doc_id")
+def _crossed(nodes: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the labels of nodes (node, rep, k1, n, label) that meet under keys."""
+    met = _crowds(nodes, keys).withColumnRenamed("rep", "doc_id")
     return met.join(sets, ["doc_id", "k1"]).select("kind", "id", "p", "q", "block", "label", "shingles").groupBy("kind", "id", "p", "q").applyInArrow(_crowd(percent), "a long, b long")
 
 
@@ -280,11 +276,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     # Classes of buckets that still hold several components, if enough of their shingles are held by other components.
     labelled = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "k1", "n", F.coalesce("label", "rep").alias("label"))
     several = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
-    mixed = cut(labelled.join(apart(several, "bucket"), "bucket", "left_semi").select(F.xxhash64("rep", "k1").alias("node"), "rep", "k1", "n", "label").distinct(), fresh=True)
-    spread = _spread(mixed, sets)
+    mixed = cut(labelled.join(apart(several, "bucket"), "bucket", "left_semi").select("bucket", F.xxhash64("rep", "k1").alias("node"), "rep", "k1", "n", "label"), fresh=True)
+    nodes = mixed.select("node", "rep", "k1", "n", "label").distinct()
+    spread = _spread(nodes, sets)
     bounds = spread.join(_across(spread), "shingle").groupBy("node").agg(F.count("*").alias("c"))
-    nodes = cut(mixed.join(bounds, "node").where(F.col("c") * 100 >= F.col("n") * percent).drop("c"), fresh=True)
-    late = _crossed(nodes, sets, percent)
+    nodes = cut(nodes.join(bounds, "node").where(F.col("c") * 100 >= F.col("n") * percent).drop("c"), fresh=True)
+    late = _crossed(nodes, _keys(mixed.select("bucket", "node", "label").join(nodes.select("node"), "node")), sets, percent)
     merged = components(late, "a", "b")
 
     # A document that holds several classes (repeated doc_id) joins their components; rows find theirs by set.
