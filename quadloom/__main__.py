@@ -7,13 +7,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import signal
 import sys
 import threading
 import time
+from collections.abc import Callable
 from contextlib import closing
 from pathlib import Path
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from .config import Config, Layer, load
 from .operators import tilesets
@@ -23,6 +27,11 @@ from .plans.validate import validate
 from .sources import mbtiles
 from .sources.publish import publish_now
 from .streaming import changes
+from .streaming.bus import Bus, start_webhooks
+from .streaming.delivery import with_retries
+
+#: How often a stream that fails is started again from its checkpoint.
+RESTARTS = 8
 
 
 def _tables(spark: SparkSession, folder: str | None) -> G.Tables:
@@ -31,29 +40,37 @@ def _tables(spark: SparkSession, folder: str | None) -> G.Tables:
     return lambda layer: spark.read.parquet(f"{folder}/{layer.table}.parquet")
 
 
-def generate(spark: SparkSession, config: Config, tables: G.Tables) -> list[dict]:
-    """Writes every source's MBTiles file; returns the events."""
+def generate(spark: SparkSession, config: Config, tables: G.Tables, bus: Bus | None = None) -> list[dict]:
+    """Writes every source's MBTiles file; publishes and returns the events."""
     events = []
     for source in config.sources:
         began = time.time()
-        n = G.write_mbtiles(source, G.generate(source, tables), source.mbtiles_path)
+        n = G.write_mbtiles(source, G.generate(source, tables), source.mbtiles_path, G.bounds_of(G.source_features(source, tables)))
         publish_now(source.mbtiles_path, config.publish, "generate")
         events.append({"event": "generate_complete", "source": source.name, "duration_ms": int((time.time() - began) * 1000)})
+        if bus:
+            bus.publish(events[-1])
         print(f"{source.name}: {n} tiles in {source.mbtiles_path}")
     return events
 
 
-def watch(spark: SparkSession, config: Config, tables: G.Tables, feed: str, checkpoint: str, once: bool = False):
+def watch(spark: SparkSession, config: Config, tables: G.Tables, feed: str, checkpoint: str, once: bool = False, bus: Bus | None = None):
     """Keeps the files fresh from a folder of notifications; a batch's tiles are merged in one transaction for each source."""
 
     def update(batch: DataFrame, _: int) -> None:
-        for name, (changed, event) in G.update(spark, config, tables, batch).items():
+        for name, made in G.update(spark, config, tables, batch).items():
             source = config.source(name)
-            with closing(mbtiles.MBTiles(source.mbtiles_path)) as store:
-                put, deleted = store.merge(changed.toLocalIterator())
-            if put or deleted:
-                publish_now(source.mbtiles_path, config.publish, "update")
-                print(json.dumps(event.first().asDict()), flush=True)
+            try:
+                with closing(mbtiles.MBTiles(source.mbtiles_path)) as store:
+                    put, deleted = store.merge(made.changed.toLocalIterator())
+                if put or deleted:
+                    publish_now(source.mbtiles_path, config.publish, "update")
+                    event = made.event.first().asDict()
+                    print(json.dumps(event), flush=True)
+                    if bus:
+                        bus.publish(event)
+            finally:
+                made.release()
 
     return changes.watch(changes.read_stream(spark, feed), update, checkpoint, config.updates.debounce_ms, once=once)
 
@@ -115,15 +132,44 @@ def main(args: list[str] | None = None) -> int:
         for row in issues:
             print(f"{row.source} {row.layer or ''}: {row.issue}")
         return int(bool(issues))
-    if given.command in ("generate", "run"):
-        generate(spark, config, tables)
-    if given.command in ("watch", "run"):
-        query = watch(spark, config, tables, given.feed, given.checkpoint, given.once)
-        if given.command == "run" and not given.once:
-            threading.Thread(target=make_server(config).serve_forever, daemon=True).start()
-        query.awaitTermination()
+    bus = Bus()
+    webhooks = start_webhooks(bus, config.webhook)
+    try:
+        if given.command in ("generate", "run"):
+            generate(spark, config, tables, bus)
+        if given.command in ("watch", "run"):
+            if given.command == "run" and not given.once:
+                threading.Thread(target=make_server(config, bus, config.webhook.cooldown_secs).serve_forever, daemon=True).start()
+            supervise(lambda: watch(spark, config, tables, given.feed, given.checkpoint, given.once, bus))
+    finally:
+        bus.close()
+        if webhooks:
+            webhooks.join()
     return 0
 
 
+def supervise(start: Callable[[], StreamingQuery], retries: int = RESTARTS) -> None:
+    """Runs a query to its end, started again after a failure with growing delays; SIGTERM and SIGINT stop it between batches."""
+    stopping, running = threading.Event(), []
+
+    def stop(*_) -> None:
+        stopping.set()
+        for query in running:
+            query.stop()
+
+    def run() -> None:
+        running[:] = [start()]
+        try:
+            running[0].awaitTermination()
+        except StreamingQueryException:
+            if not stopping.is_set():
+                raise
+
+    if threading.current_thread() is threading.main_thread():
+        for name in (signal.SIGTERM, signal.SIGINT):
+            signal.signal(name, stop)
+    with_retries(run, retries, longest=60)
+
+
 if __name__ == "__main__":
     sys.exit(main())

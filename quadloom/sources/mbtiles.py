@@ -1,4 +1,4 @@
-"""MBTiles files: a Spark data source that reads one partition per zoom, and a writer.
+"""MBTiles files: a Spark data source that reads a zoom in ranges of columns, and a writer.
 
 A file is one SQLite database, so writes go through one process; Parquet is the tileset format that scales, partitioned by zoom.
 """
@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import closing, contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,24 +23,42 @@ CREATE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row);
 """
 
 
-class ZoomPartition(InputPartition):
-    def __init__(self, zoom: int):
-        super().__init__(zoom)
-        self.zoom = zoom
+#: Columns of tiles that one partition reads, about: high zooms hold most of a file, so a zoom is read in ranges of columns.
+COLUMNS = 256
+#: Tiles of a batch that is handed on.
+BATCH = 1024
+
+
+class ColumnsPartition(InputPartition):
+    """Tiles of a zoom whose columns go from first to last."""
+
+    def __init__(self, zoom: int, first: int, last: int):
+        super().__init__((zoom, first, last))
+        self.zoom, self.first, self.last = zoom, first, last
 
 
 class MBTilesReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def partitions(self) -> list[ZoomPartition]:
+    def partitions(self) -> list[ColumnsPartition]:
         with closing(_open(self.path)) as db:
-            return [ZoomPartition(z) for (z,) in db.execute("SELECT DISTINCT zoom_level FROM tiles ORDER BY 1")]
-
-    def read(self, partition: ZoomPartition) -> Iterator[tuple]:
+            zooms = db.execute("SELECT zoom_level, min(tile_column), max(tile_column) FROM tiles GROUP BY zoom_level ORDER BY 1").fetchall()
+        out = []
+        for zoom, first, last in zooms:
+            step = max(COLUMNS, -(-(last - first + 1) // COLUMNS))
+            out += [ColumnsPartition(zoom, a, min(a + step - 1, last)) for a in range(first, last + 1, step)]
+        return out
+
+    def read(self, partition: ColumnsPartition) -> Iterator[pa.RecordBatch]:
+        names = ["z", "x", "y", "tile_data"]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         with closing(_open(self.path)) as db:
-            for z, x, row, data in db.execute("SELECT zoom_level, tile_column, tile_row, tile_data FROM tiles WHERE zoom_level = ?", (partition.zoom,)):
-                yield z, x, (1 << z) - 1 - row, data
+            found = db.execute("SELECT zoom_level, tile_column, tile_row, tile_data FROM tiles WHERE zoom_level = ? AND tile_column BETWEEN ? AND ?", (partition.zoom, partition.first, partition.last))
+            while rows := found.fetchmany(BATCH):
+                z, x, row, data = zip(*rows, strict=True)
+                y = [(1 << partition.zoom) - 1 - r for r in row]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((z, x, y, data), kinds, strict=True)], names=names)
 
 
 class MBTilesSource(DataSource):
@@ -62,6 +81,15 @@ def _open(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
+def read_tile(path: str, z: int, x: int, y: int) -> bytes | None:
+    """One tile's data of a file that isn't written to."""
+    if not 0 <= y < 1 << z:
+        return None
+    with closing(_open(path)) as db:
+        found = db.execute("SELECT tile_data FROM tiles WHERE zoom_level = ? AND tile_column = ? AND tile_row = ?", (z, x, (1 << z) - 1 - y)).fetchone()
+    return found[0] if found else None
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """(z, x, y, tile_data), y counted from the north."""
     spark.dataSource.register(MBTilesSource)

@@ -80,7 +80,7 @@ def test_incremental_update_is_the_same_as_a_new_generation(spark):
     bounds = {2: (10.3, 50.0, 13.3, 52.0), 3: (100.0, -20.0, 103.0, -18.0)}
     changes = spark.createDataFrame([("boxes", i, b) for i, b in bounds.items()] + [("boxes", 1, None)], "layer string, id bigint, old_bounds struct<min_lon: double, min_lat: double, max_lon: double, max_lat: double>")
     config = Config((SOURCE,))
-    changed, event = P.update(spark, config, after, changes)["s"]
+    changed, event, release = P.update(spark, config, after, changes)["s"]
     rows = changed.collect()
     for r in rows:
         if r.tile_data is None:
