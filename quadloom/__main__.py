@@ -45,7 +45,10 @@ def generate(spark: SparkSession, config: Config, tables: G.Tables, bus: Bus | N
     events = []
     for source in config.sources:
         began = time.time()
-        n = G.write_mbtiles(source, G.generate(source, tables), source.mbtiles_path, G.bounds_of(G.source_features(source, tables)))
+        n = G.write_mbtiles(source, G.generate(source, tables), source.mbtiles_path)
+        if source.layers and (bounds := G.bounds_of(G.source_features(source, tables))):
+            with closing(mbtiles.MBTiles(source.mbtiles_path)) as store:
+                store.put_metadata(mbtiles.default_metadata(source.name, source.min_zoom, source.max_zoom, bounds))
         publish_now(source.mbtiles_path, config.publish, "generate")
         events.append({"event": "generate_complete", "source": source.name, "duration_ms": int((time.time() - began) * 1000)})
         if bus:

@@ -97,5 +97,6 @@ def merge(tiles: DataFrame, affected: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def changes_of(affected: DataFrame, fresh: DataFrame) -> DataFrame:
     """(z, x, y, tile_data) of affected tiles, null where the tile is to be deleted. Tiles that couldn't be made are left out, so they stay as they are."""
-    joined = affected.select(*KEY).join(fresh.select(*KEY, "tile_data", F.col("n_layers").alias("_layers")), KEY, "left")
+    layers = F.col("n_layers") if "n_layers" in fresh.columns else F.lit(None).cast("int")
+    joined = affected.select(*KEY).join(fresh.select(*KEY, "tile_data", layers.alias("_layers")), KEY, "left")
     return joined.where(F.col("_layers").isNull() | (F.col("_layers") != FAILED)).drop("_layers")

@@ -213,3 +213,13 @@ def test_excluded_properties(spark):
     df = spark.createDataFrame([(3,), (7,), (12,)], "z int")
     got = df.select(F.array_sort(E.excluded_properties(F.lit("x"), F.col("z"), [layer])).alias("e")).collect()
     assert [r.e for r in got] == [["description", "metadata"], ["description"], []]
+
+
+def test_a_tile_that_cannot_be_made_stays_as_it_is(spark):
+    rows = [(0, 0, 0, "i", "5"), (1, 0, 0, "i", "no number"), (1, 1, 0, "s", "x")]
+    df = spark.createDataFrame([(z, x, y, "l", 1, k, t) for z, x, y, k, t in rows], "z int, x long, y long, layer string, id long, kind string, text string")
+    placed = df.withColumn("geometry", G.point(F.lit(0.0), F.lit(0.0))).withColumn("props", F.create_map(F.lit("a"), F.struct("kind", "text")))
+    fresh = E.encode(placed, skip_failed=True)
+    affected = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1)], "z int, x long, y long")
+    changed = {(r.z, r.x, r.y): r.tile_data is not None for r in S.changes_of(affected, fresh).collect()}
+    assert changed == {(0, 0, 0): True, (1, 1, 0): True, (1, 1, 1): False}
