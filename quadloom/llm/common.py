@@ -18,6 +18,8 @@ SLICE_BYTES = 2 << 20
 CACHED_WORDS = 200_000
 #: Spark's setting by which a checkpoint's files go when its frame is no longer in use.
 CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+#: Spark's setting by which an execution's shuffle files go when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +41,29 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def settled(df: DataFrame, action: Callable[[DataFrame], object]):
+    """action(df), whose shuffle files go at its end. For actions whose result needs the shuffles no more: a checkpoint, a few counts.
+
+    Otherwise they stay until the driver collects garbage, and iterations pile them up: three files for each task of each shuffle.
+    The setting is read when a plan is made, so only the plan of this action, which nobody else holds, has it.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES, None)
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        return action(df.select("*"))
+    finally:
+        conf.unset(DROP_SHUFFLES) if before is None else conf.set(DROP_SHUFFLES, before)
+
+
 def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
     """df with its rows in the checkpoint folder, where they outlive the executors; the files go when the frame is collected as garbage.
 
-    A checkpoint keeps its plan's partitioning and its estimate of size, which every join multiplies: after some rounds that is a number of
+    The shuffles that made the rows go at once. A checkpoint keeps its plan's partitioning and its estimate of size, which every join multiplies: after some rounds that is a number of
     millions of digits. fresh: forget both, for frames that many others are made from, one after the other.
     """
     spark = with_checkpoints(df.sparkSession)
-    held = df.checkpoint()
+    held = settled(df, lambda d: d.checkpoint())
     if not fresh:
         return held
     rows = held._jdf.queryExecution().toRdd()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, cut
+from .common import apart, cut, settled
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return tuple(settled(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))), lambda d: d.first()))
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
