@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: A slice of an Arrow batch holds at most this many bytes of text (one longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
+#: Spark's bound on the bytes of an Arrow batch; its own default (64 MB, met by 10,000 rows of long texts) is held several times over by the
+#: JVM and by each worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Words whose hash a Python worker keeps at hand.
 CACHED_WORDS = 200_000
 #: Spark's setting by which a checkpoint's files go when its frame is no longer in use.
@@ -99,7 +102,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         yield batch.slice(start)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold as many bytes as a slice, about, unless it has a bound of its own. Results don't depend on it."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
+
+
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    in_small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

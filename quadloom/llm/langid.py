@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, cut, mapped, texts_of
+from .common import SLICE_BYTES, cut, in_small_batches, mapped, texts_of
 
 #: Labelled rows that the text model is fitted on, at most.
 SAMPLE = 4000
@@ -108,6 +108,7 @@ def _scores(model: TextModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
 
 
 def _scorer(spark, model: TextModel, html: bool):
+    in_small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # its size: 2^BITS numbers for each language
 
     def score(column: pa.Array) -> pa.Array:
