@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import gzip
 import struct
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import packed
 from .geometry import class_of, let
 from .tiles import EXTENT, local_x, local_y, local_y_mercator, tile_bounds
 
@@ -174,7 +178,7 @@ class LayerWriter:
     """One layer's message, feature by feature: keys and values are numbered as they first occur."""
 
     def __init__(self, name: str, extent: int = EXTENT):
-        self.name, self.extent, self.features = name, extent, []
+        self.name, self.extent, self.features, self.count = name, extent, bytearray(), 0
         self.keys: dict[str, int] = {}
         self.values: dict[tuple[str, str], int] = {}
         self.tags: dict[str, bytes] = {}
@@ -184,9 +188,16 @@ class LayerWriter:
 
     def add_coded(self, feature_id: int, kind: int, geometry: list[int], properties: list[str]) -> None:
         """properties: as coded_properties() makes them."""
-        tags = b"".join([self.tags.get(p) or self._learn(p) for p in properties])
-        body = _number(FEATURE_ID, feature_id) + (_bytes(FEATURE_TAGS, tags) if tags else b"") + _number(FEATURE_TYPE, kind) + _packed(FEATURE_GEOMETRY, geometry)
-        self.features.append(_bytes(LAYER_FEATURE, body))
+        self.add_packed(_number(FEATURE_ID, feature_id), _number(FEATURE_TYPE, kind) + _packed(FEATURE_GEOMETRY, geometry), properties)
+
+    def add_packed(self, before: bytes, after: bytes, properties: list[str]) -> None:
+        """before, after: the fields before the tags and those after them, written."""
+        known = self.tags
+        tags = b"".join([known[p] if p in known else self._learn(p) for p in properties])
+        if tags:
+            before += _TAGS + _varint(len(tags)) + tags
+        self.features += _FEATURE + _varint(len(before) + len(after)) + before + after
+        self.count += 1
 
     def _learn(self, coded: str) -> bytes:
         """The two tags of a property, packed."""
@@ -194,18 +205,27 @@ class LayerWriter:
         self.tags[coded] = out = _varint(self.keys.setdefault(key, len(self.keys))) + _varint(self.values.setdefault((value[:1], value[1:]), len(self.values)))
         return out
 
-    def message(self) -> bytes:
-        parts = [_bytes(LAYER_NAME, self.name.encode()), *self.features, *(_bytes(LAYER_KEY, k.encode()) for k in self.keys), *(_bytes(LAYER_VALUE, value_message(*v)) for v in self.values)]
-        return b"".join([*parts, _number(LAYER_EXTENT, self.extent), _number(LAYER_VERSION, VERSION)])
+    def parts(self) -> list[bytes | bytearray]:
+        """What the message is made of."""
+        rest = [*(_bytes(LAYER_KEY, k.encode()) for k in self.keys), *(_bytes(LAYER_VALUE, value_message(*v)) for v in self.values)]
+        return [_bytes(LAYER_NAME, self.name.encode()), self.features, b"".join([*rest, _number(LAYER_EXTENT, self.extent), _number(LAYER_VERSION, VERSION)])]
+
+
+_TAGS, _FEATURE = _varint(FEATURE_TAGS << 3 | 2), _varint(LAYER_FEATURE << 3 | 2)
 
 
 def tile_message(layers: list[LayerWriter]) -> bytes:
-    return b"".join(_bytes(TILE_LAYER, layer.message()) for layer in layers if layer.features)
+    out = []
+    for layer in layers:
+        if layer.count:
+            parts = layer.parts()
+            out += [_varint(TILE_LAYER << 3 | 2) + _varint(sum(map(len, parts))), *parts]
+    return b"".join(out)
 
 
 def compressed(data: bytes) -> bytes:
-    """gzip without a time, so that equal tiles are equal bytes."""
-    return gzip.compress(data, mtime=0)
+    """gzip at its usual level, without a time, so that equal tiles are equal bytes."""
+    return gzip.compress(data, 6, mtime=0)
 
 
 # Reading
@@ -291,6 +311,63 @@ def decode_commands(numbers: list[int]) -> list[list[tuple[int, int]]]:
     return runs
 
 
+def tile_layers(data: bytes) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+    """The layers of a tile (compressed or not): name, version, extent, keys and values; its bytes, and where the layer's features start and end in them."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    raw, at = np.frombuffer(data, dtype=np.uint8), 0
+    while at < len(data):
+        key, at = _read_varint(data, at)
+        if key != TILE_LAYER << 3 | 2:
+            at = _skipped(data, key & 7, at)
+            continue
+        size, at = _read_varint(data, at)
+        end, starts, ends = at + size, array("q"), array("q")
+        layer = {"name": "", "version": 1, "extent": EXTENT, "keys": [], "values": []}
+        while at < end:
+            key, at = _read_varint(data, at)
+            if key & 7 != 2:
+                value, at = _read_varint(data, at) if key & 7 == 0 else (None, _skipped(data, key & 7, at))
+                if key >> 3 in (LAYER_EXTENT, LAYER_VERSION):
+                    layer["extent" if key >> 3 == LAYER_EXTENT else "version"] = value
+                continue
+            size, at = _read_varint(data, at)
+            if key >> 3 == LAYER_FEATURE:
+                starts.append(at)
+                ends.append(at + size)
+            elif key >> 3 == LAYER_NAME:
+                layer["name"] = data[at : at + size].decode()
+            elif key >> 3 == LAYER_KEY:
+                layer["keys"].append(data[at : at + size].decode())
+            elif key >> 3 == LAYER_VALUE:
+                layer["values"].append(_value(data[at : at + size]))
+            at += size
+        yield layer, raw, np.frombuffer(starts, dtype=np.int64), np.frombuffer(ends, dtype=np.int64)
+
+
+def _skipped(data: bytes, wire: int, at: int) -> int:
+    """The place after a value."""
+    if wire in (0, 2):
+        value, at = _read_varint(data, at)
+    return at + {0: 0, 1: 8, 5: 4}[wire] if wire != 2 else at + value
+
+
+class Features(NamedTuple):
+    """Features of a layer as arrays: ids, classes, commands and tags."""
+
+    ids: np.ndarray
+    kinds: np.ndarray
+    commands: packed.Numbers
+    tags: packed.Numbers
+
+
+def features_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Features:
+    none = lambda: np.zeros(len(starts), dtype=np.int64)
+    numbers, spans = {FEATURE_ID: none(), FEATURE_TYPE: none()}, {FEATURE_TAGS: (none(), none()), FEATURE_GEOMETRY: (none(), none())}
+    packed.read_fields(raw, starts, ends, numbers, spans)
+    return Features(*numbers.values(), packed.packed_numbers(raw, *spans[FEATURE_GEOMETRY]), packed.packed_numbers(raw, *spans[FEATURE_TAGS]))
+
+
 def decode_tile(data: bytes) -> list[dict]:
     """The layers of a tile (compressed or not): name, version, extent, features with id, type, geometry, properties."""
     if data[:2] == b"\x1f\x8b":

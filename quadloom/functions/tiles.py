@@ -68,9 +68,14 @@ def local_y(lat: Column, bounds: Column, extent: int = EXTENT) -> Column:
     return _truncated((bounds["max_lat"] - lat) / (bounds["max_lat"] - bounds["min_lat"]) * float(extent))
 
 
+def down_tile_mercator(lat: Column, y: Column, z: Column) -> Column:
+    """The share of a tile's height above a latitude, linear in the projection."""
+    return (F.lit(1.0) - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2.0 * _count(z) - y
+
+
 def local_y_mercator(lat: Column, y: Column, z: Column, extent: int = EXTENT) -> Column:
     """Linear in the projection, as maps draw it."""
-    return _truncated(((F.lit(1.0) - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2.0 * _count(z) - y) * float(extent))
+    return _truncated(down_tile_mercator(lat, y, z) * float(extent))
 
 
 def simplification_tolerance(base: Column, z: Column) -> Column:

@@ -123,13 +123,13 @@ DERIVED = Source("derived", 3, 4, (replace(spatial.LAYERS["boxes"], generate_lab
 
 
 def encoded_derived_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = E.decoded(P.generate(DERIVED, _tables(spark, sf_dir)))
+    read = E.decoded(P.generate(DERIVED, _tables(spark, sf_dir)), "z", "x", "y", "layer", "id", "class")
     return read.groupBy("z", "x", "y", "layer", "class").agg(F.count("*").alias("features"), F.sum("id").alias("sum_id"))
 
 
 def encoded_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The net over all its zooms, its lines simplified: vertices read back from the commands."""
-    read = E.decoded(P.generate(NET, _tables(spark, sf_dir)))
+    read = E.decoded(P.generate(NET, _tables(spark, sf_dir)), "z", "x", "y", "id", "commands")
     vertices = F.lit(1) + F.shiftright(F.col("commands")[3], 3).cast("int")
     return read.groupBy("z", "x", "y").agg(F.count("*").alias("features"), F.sum(vertices).alias("vertices"), F.sum("id").alias("sum_id"))
 
@@ -214,7 +214,7 @@ def update_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regenerated_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base's tiles that changes touch, made from the features that meet them: what they hold, read back."""
     affected = affected_tiles(spark, sf_dir).where("source = 'base'").select("z", "x", "y")
-    read = E.decoded(P.regenerate(BASE, _tables(spark, sf_dir), affected))
+    read = E.decoded(P.regenerate(BASE, _tables(spark, sf_dir), affected), "z", "x", "y", "layer", "id")
     return read.groupBy("z", "x", "y", "layer").agg(F.count("*").alias("features"), F.sum("id").alias("sum_id"))
 
 

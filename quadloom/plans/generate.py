@@ -56,13 +56,13 @@ def placed_features(features: DataFrame, source: Source) -> DataFrame:
 
 def generate(source: Source, tables: Tables, mercator: bool = False, restart: bool = False) -> DataFrame:
     """(z, x, y, tile_data, n_features, n_layers) of all tiles that any feature touches."""
-    placed = placed_features(source_features(source, tables), source)
+    placed = placed_features(E.coded(source_features(source, tables)), source)
     return E.encode(placed, source.layers, "drawn", mercator=mercator, restart=restart)
 
 
 def regenerate(source: Source, tables: Tables, affected: DataFrame) -> DataFrame:
     """The tiles of generate() among affected (z, x, y, each once), from the features that touch them alone; those that can't be written have null data."""
-    placed = features_of_tiles(source_features(source, tables), affected, source.min_zoom, source.max_zoom, "parent")
+    placed = features_of_tiles(E.coded(source_features(source, tables)), affected, source.min_zoom, source.max_zoom, "parent")
     drawn = F.col("geometry")
     if any(one.simplify_tolerance for one in source.layers):
         drawn = shapes.simplify(drawn, E.tolerance_at(F.col("layer"), F.col("z"), source.layers))

@@ -172,14 +172,14 @@ def generate_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts read back from the encoded tiles."""
-    read = E.decoded(generate_base(spark, sf_dir))
+    read = E.decoded(generate_base(spark, sf_dir), "z", "x", "y", "layer", "id")
     return read.groupBy("z", "x", "y").agg(F.count("*").alias("n_features"), F.countDistinct("layer").alias("n_layers"), F.sum("id").alias("sum_id"))
 
 
 def encoded_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines' commands as they are read back from encoded tiles."""
     plain = Source("plain", 7, 7, (spatial.LAYERS["lines"],))
-    read = E.decoded(P.generate(plain, _tables(spark, sf_dir)))
+    read = E.decoded(P.generate(plain, _tables(spark, sf_dir)), "z", "x", "y", "id", "commands")
     return read.select("id", "z", "x", "y", _numbers(F.col("commands")).alias("commands"))
 
 
