@@ -23,7 +23,7 @@ from ..sources.geojson import feature_json
 from ..sources.tilesets import keys
 from . import generate as P
 from .oracles import _A, _AFFECTED, _BOUNDS, _BOX_ROWS, _COUNT_LINES, _EVENTS, _KEY, _LINE_MEETS, _LINE_ROWS, _MEETS, _PARSED, _POINT_ROWS, _R9, _lat, _lon, _px, _py, _segment, _tiled, _with, _x, _y, _zz
-from .queries import BASE, CONFIG, NET, Query, _events, _features, _good, _numbers, _tables, _tileset_a, _view, affected_tiles
+from .queries import BASE, CONFIG, NET, Query, _changed, _events, _features, _good, _numbers, _tables, _tileset_a, _view, affected_tiles
 
 #: A box to fetch features from.
 FETCHED = (-20.0, -10.0, 35.0, 40.0)
@@ -213,7 +213,7 @@ def update_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regenerated_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base's tiles that changes touch, made from the features that meet them: what they hold, read back."""
-    affected = affected_tiles(spark, sf_dir).where("source = 'base'").select("z", "x", "y")
+    affected = affected_tiles(spark, sf_dir).where("source = 'base'").select("z", "x", "y").persist()  # counted first, then joined
     read = E.decoded(P.regenerate(BASE, _tables(spark, sf_dir), affected), "z", "x", "y", "layer", "id")
     return read.groupBy("z", "x", "y", "layer").agg(F.count("*").alias("features"), F.sum("id").alias("sum_id"))
 
@@ -221,7 +221,7 @@ def regenerated_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For both sources, how many tiles an update writes and how many it deletes, by zoom."""
     out = None
-    for name, made in P.update(spark, Config(CONFIG.sources), _tables(spark, sf_dir), _good(spark, sf_dir)).items():
+    for name, made in P.update(spark, Config(CONFIG.sources), _tables(spark, sf_dir), _changed(spark, sf_dir)).items():
         one = made.changed.groupBy(F.lit(name).alias("source"), F.col("z").cast("int").alias("z")).agg(F.count(F.when(F.col("tile_data").isNotNull(), 1)).alias("written"), F.count(F.when(F.col("tile_data").isNull(), 1)).alias("deleted"))
         out = one if out is None else out.unionByName(one)
     return out

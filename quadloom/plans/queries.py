@@ -192,6 +192,10 @@ def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.good(N.parse(_view(spark, sf_dir, "changes")))
 
 
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.distinct_changes(_view(spark, sf_dir, "changes"))
+
+
 def route_changes_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = S.route(_good(spark, sf_dir), P.shown_layers(spark, CONFIG))
     return routed.groupBy("source", "layer").agg(F.count("*").alias("changes"), F.countDistinct("id").alias("features"))
@@ -205,7 +209,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def affected_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = S.route(_good(spark, sf_dir), P.shown_layers(spark, CONFIG))
+    routed = S.route(_changed(spark, sf_dir), P.shown_layers(spark, CONFIG))
     found = S.affected_tiles(routed, _features(spark, sf_dir))
     return found.select("source", F.col("z").cast("int").alias("z"), "x", "y")
 

@@ -46,6 +46,11 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where("problem IS NOT NULL")
 
 
+def distinct_changes(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """The good changes of notifications, repeated ones once and parsed once: all that an update's tiles depend on."""
+    return good(parse(payloads.select(payload).distinct(), payload))
+
+
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Notifications from text files as they appear, a payload a line."""
     return spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])).text(folder).withColumnRenamed("value", "payload")

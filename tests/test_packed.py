@@ -11,6 +11,8 @@ from quadloom.functions import geometry as G
 from quadloom.functions import mvt, packed, shapes
 from quadloom.operators import encode as E
 from quadloom.operators.cover import tiles_of_features
+from quadloom.plans import encoding_queries, queries
+from quadloom.streaming import changes
 
 
 def shape(rng, kind, size):
@@ -100,3 +102,19 @@ def test_rows_come_in_batches(spark):
     sizes = E.decoded(tiles, "id").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n bigint").collect()
     assert sum(r.n for r in sizes) == n and max(r.n for r in sizes) <= E.FEATURES_READ
     assert E.decoded(tiles, "id").columns == ["id"] and E.decoded(tiles).where(F.col("properties") == F.concat(F.lit('{"k": '), F.col("id").cast("string"), F.lit("}"))).count() == n
+
+
+def test_repeated_notifications_are_parsed_once(spark):
+    rows = [(p,) for p in ("boxes:1", '{"layer":"boxes","id":2,"old_bounds":{"min_lon":1,"min_lat":2,"max_lon":3,"max_lat":4}}', "garbage", None) for _ in range(50)]
+    found = changes.distinct_changes(spark.createDataFrame(rows, "payload string"))
+    assert sorted((r.layer, r.id, r.old_bounds is not None) for r in found.collect()) == [("boxes", 1, False), ("boxes", 2, True)]
+
+
+def test_updates_read_their_notifications_once(spark):
+    """The affected tiles of both update queries come from distinct notifications, and those regenerated are kept between count and join."""
+    made = queries.affected_tiles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("Aggregate [payload") >= 1
+    spark.catalog.clearCache()
+    tiles = encoding_queries.regenerated_tiles(spark, "/root/testdata/sf0.001")
+    assert "InMemoryRelation" in tiles._jdf.queryExecution().optimizedPlan().toString() or "InMemoryRelation" in tiles._jdf.queryExecution().withCachedData().toString()
+    spark.catalog.clearCache()
