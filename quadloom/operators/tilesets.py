@@ -75,14 +75,15 @@ def route(changes: DataFrame, sources: DataFrame) -> DataFrame:
     return changes.withColumnRenamed("layer", "shown").join(F.broadcast(sources), "shown")
 
 
-def affected_tiles(routed: DataFrame, features: DataFrame) -> DataFrame:
+def affected_tiles(routed: DataFrame, features: DataFrame, few: bool = False) -> DataFrame:
     """(source, z, x, y) that routed changes (source, layer, id, old_bounds, min_zoom, max_zoom) touch: now or before, each once.
 
     The changes of a batch are few, the features many: features are cut down to those that changes name by their keys alone, before their
-    bounds are made, and repeated changes of a feature count once.
+    bounds are made, and repeated changes of a feature count once. few: the keys are known to be few enough to broadcast, so features aren't shuffled.
     """
     named = routed.select("source", "layer", "id", "min_zoom", "max_zoom").distinct()
-    current = features.select("layer", "id", F.col("bbox").alias("now")).join(named.select("layer", "id").distinct(), ["layer", "id"], "left_semi")
+    keys = named.select("layer", "id").distinct()
+    current = features.select("layer", "id", F.col("bbox").alias("now")).join(F.broadcast(keys) if few else keys, ["layer", "id"], "left_semi")
     now = named.join(current, ["layer", "id"]).select("source", "min_zoom", "max_zoom", F.col("now").alias("bounds"))
     before = routed.select("source", "min_zoom", "max_zoom", F.col("old_bounds").cast(current.schema["now"].dataType).alias("bounds"))
     places = now.union(before).where("bounds IS NOT NULL").distinct()

@@ -90,26 +90,32 @@ class Update(NamedTuple):
     release: Callable[[], object]
 
 
+#: Keys of changed features to broadcast have so many rows at most.
+BROADCAST_KEYS = 100_000
+
+
 def update(spark: SparkSession, config: Config, tables: Tables, changes: DataFrame, previous: DataFrame | None = None) -> dict[str, Update]:
     """An update for each source of changes (layer, id, old_bounds).
 
-    previous: features as they were, for changes that bring no old bounds.
+    previous: features as they were, for changes that bring no old bounds. Routed changes are kept, so that they are made once for all sources.
     """
     routed = tilesets.route(changes, shown_layers(spark, config))
     if previous is not None:
         old = previous.select("layer", "id", F.col("bbox").alias("before"))
         routed = routed.join(old, ["layer", "id"], "left").withColumn("old_bounds", F.coalesce("old_bounds", "before")).drop("before")
+    routed = routed.persist()
+    few = routed.count() <= BROADCAST_KEYS
     out = {}
     for source in config.sources:
         own = routed.where(F.col("source") == source.name)
         features = source_features(source, tables)
         named = features.where(F.col("layer").isin([x.name for x in source.layers]))
-        affected = tilesets.affected_tiles(own, named).select("z", "x", "y").persist()
+        affected = tilesets.affected_tiles(own, named, few).select("z", "x", "y").persist()
         changed = tilesets.changes_of(affected, regenerate(source, tables, affected))
         names = own.agg(F.array_sort(F.collect_set(base_layer(F.col("layer")))).alias("layers_affected"))
         zooms = affected.agg(F.lit("update_complete").alias("event"), F.lit(source.name).alias("source"), F.count("*").alias("tiles_updated"), F.array_sort(F.collect_set("z")).alias("affected_zooms"))
         event = zooms.join(names.withColumn("source", F.lit(source.name)), "source").withColumn("max_zoom", F.lit(source.max_zoom)).where("tiles_updated > 0")
-        out[source.name] = Update(changed, event, affected.unpersist)
+        out[source.name] = Update(changed, event, lambda affected=affected: (affected.unpersist(), routed.unpersist()))
     return out
 
 
